@@ -7,7 +7,7 @@ characters.
 from folioseek.functions import quoted, strings
 
 # Letters at the start of a word that deletion keys are made from.
-KEY_PREFIX = 16
+KEY_PREFIX = 12
 
 # Words shorter than the first bound take no edit under "AUTO",
 # those shorter than the second take one, all others two.
@@ -90,27 +90,26 @@ def near_literal(word: str, x: str, length: str, most: int) -> str:
     return f"if({test}, struct({token} AS token, {edits} AS edits), NULL)"
 
 
-def _without_one(x: str, i: str) -> str:
-    return (
-        f"transform(sequence(1, char_length({x})), {i} -> "
-        f"concat(substring({x}, 1, {i} - 1), substring({x}, {i} + 1)))"
-    )
-
-
 def deletion_keys(x: str, most: str) -> str:
     """Words left after deleting up to `most` (0-2) letters near the start.
 
     Two words within `most` edits always share a key: the letters both keep
     form a common word that each reaches by at most `most` deletions, and
-    cutting both to a prefix only shortens that word. At most 137 keys a word.
+    cutting both to a prefix only shortens that word. At most 79 keys a word;
+    a word with repeated letters may give a key more than once.
     """
     none = "cast(array() AS array<string>)"
-    one = f"if({most} >= 1 AND char_length(s) > 0, {_without_one('s', 'i')}, {none})"
+    last = "char_length(s)"
+    one = (
+        f"if({most} >= 1 AND {last} > 0, transform(sequence(1, {last}), "
+        f"i -> concat(left(s, i - 1), substring(s, i + 1))), {none})"
+    )
     two = (
-        f"if({most} >= 2 AND char_length(s) > 1, flatten(transform("
-        f"{_without_one('s', 'i')}, t -> {_without_one('t', 'j')})), {none})"
+        f"if({most} >= 2 AND {last} > 1, flatten(transform(sequence(1, {last} - 1), "
+        f"i -> transform(sequence(i + 1, {last}), j -> concat("
+        f"left(s, i - 1), substring(s, i + 1, j - i - 1), substring(s, j + 1))))), {none})"
     )
     return (
-        f"transform(array(left({x}, {KEY_PREFIX})), s -> "
-        f"array_distinct(concat(array(s), {one}, {two})))[0]"
+        f"transform(array(left({x}, {KEY_PREFIX})), "
+        f"s -> concat(array(s), {one}, {two}))[0]"
     )

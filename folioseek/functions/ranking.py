@@ -1,21 +1,31 @@
 """Relevance arithmetic (BM25, Robertson and Zaragoza 2009)."""
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Mapping
 
 from folioseek.schema import BM25_B, BM25_K1, SCORE_DIGITS
 
 
-def rarity(docs: Column, df: Column) -> Column:
+def real(value: float) -> str:
+    return f"{value!r}D"
+
+
+def by_field(values: Mapping[str, float], x: str = "field") -> str:
+    """Constant per field."""
+    pairs = ", ".join(f"'{name}', {real(value)}" for name, value in values.items())
+    return f"map({pairs})[{x}]"
+
+
+def rarity(docs: str, df: str) -> str:
     """Inverse document frequency; never negative."""
-    return F.log(1 + (docs - df + 0.5) / (df + 0.5))
+    return f"ln(1 + ({docs} - {df} + 0.5D) / ({df} + 0.5D))"
 
 
-def saturation(tf: Column, dl: Column, average: Column) -> Column:
+def saturation(tf: str, dl: str, average: str) -> str:
     """Share of a term's weight that a document earns."""
-    norm = BM25_K1 * (1 - BM25_B + BM25_B * dl / average)
-    return (BM25_K1 + 1) * tf / (tf + norm)
+    share = f"{real(1 - BM25_B)} + {real(BM25_B)} * {dl} / {average}"
+    return f"{real(BM25_K1 + 1)} * {tf} / ({tf} + {real(BM25_K1)} * ({share}))"
 
 
-def rounded(score: Column) -> Column:
+def rounded(score: str) -> str:
     """Scores are rounded before ordering, so that sums compare alike."""
-    return F.round(score, SCORE_DIGITS)
+    return f"round({score}, {SCORE_DIGITS})"

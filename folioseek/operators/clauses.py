@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from folioseek.functions.ranking import rounded, saturation
+from folioseek.functions.ranking import real, rounded, saturation
 from folioseek.operators.scoring import VERSION
 
 
@@ -20,7 +20,7 @@ def match_clauses(
     counting `must` postings counts the terms present.
     """
     term = F.col("term")
-    earned = F.col("boost") * saturation(F.col("tf"), F.col("dl"), F.lit(average))
+    earned = F.expr(f"boost * {saturation('tf', 'dl', real(average))}")
     grouped = matched.groupBy(*VERSION).agg(
         F.count_if(term.isin(must)).alias("_must"),
         F.count_if(term.isin(should)).alias("_should"),
@@ -29,7 +29,7 @@ def match_clauses(
     )
     wanted = F.col("_must") == len(set(must)) if must else F.col("_should") > 0
     return grouped.filter(wanted & (F.col("_not") == 0)).select(
-        *VERSION, rounded(F.col("_sum")).alias("score")
+        *VERSION, F.expr(rounded("_sum")).alias("score")
     )
 
 
@@ -55,9 +55,9 @@ def match_phrase(
     for term, offset in zip(terms, offsets):
         shifted = F.expr(f"transform(_at{slots.index(term)}, at -> at - {offset})")
         starts = shifted if starts is None else F.array_intersect(starts, shifted)
-    earned = F.lit(boost) * saturation(F.col("tf"), F.col("dl"), F.lit(average))
+    earned = f"{real(boost)} * {saturation('tf', 'dl', real(average))}"
     return (
         grouped.withColumn("tf", F.size(starts))
         .filter(F.col("tf") > 0)
-        .select(*VERSION, rounded(earned).alias("score"))
+        .select(*VERSION, F.expr(rounded(earned)).alias("score"))
     )

@@ -1,6 +1,8 @@
 """From query words to weighted index terms."""
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from folioseek.functions import quoted
 from folioseek.functions.edits import (
@@ -10,7 +12,7 @@ from folioseek.functions.edits import (
     edits_between,
     near_literal,
 )
-from folioseek.functions.ranking import rarity
+from folioseek.functions.ranking import by_field, rarity
 from folioseek.functions.text import placed_terms
 from folioseek.operators.postings import term_bucket
 from folioseek.schema import MAX_EXPANSIONS
@@ -18,7 +20,7 @@ from folioseek.schema import MAX_EXPANSIONS
 # Query words up to this number are compared as literals in one vocabulary scan.
 LITERAL_WORDS = 32
 
-# Words up to this number are broadcast, with at most 137 short keys each.
+# Words up to this number are broadcast, with at most 79 short keys each.
 BROADCAST_WORDS = 2000
 
 
@@ -36,6 +38,9 @@ def near_literals(
     One scan whose length bounds reach the Parquet reader; no join. A word's
     exact test runs only on terms that a plain edit distance leaves in reach.
     """
+    if not found:
+        empty = vocabulary.filter("false")
+        return empty.selectExpr("*", "'' AS token", "0 AS edits")
     reach, options = [], []
     for word in sorted(set(found)):
         most = allowed_edits_of(word, fuzziness)
@@ -95,40 +100,40 @@ def near_words(
 
 
 def best_expansions(
-    near: DataFrame, stats: Column, merged: bool = False, most: int = MAX_EXPANSIONS
+    near: DataFrame,
+    counts: Mapping[str, float],
+    merged: bool = False,
+    most: int = MAX_EXPANSIONS,
 ) -> DataFrame:
     """Weight the near terms, keep the best per word and field, share one df.
 
     In: field, term, token, edits, df (signed per batch, or already `merged`).
-    Out: field, token, term, weight, idf. `stats` is a map from field to its
-    document count. The row limit is applied in each task before the shuffle.
+    Out: field, token, term, weight, idf. `counts` gives the documents per
+    field. The row limit is applied in each task before the shuffle.
     """
     current = near
     if not merged:
         current = near.groupBy("field", "token", "term", "edits").agg(
-            F.sum("df").alias("df")
+            F.expr("sum(df)").alias("df")
         )
-    current = current.filter(F.col("df") > 0)
-    weight = 1 - F.col("edits") / F.least(F.char_length("token"), F.char_length("term"))
-    per_word = Window.partitionBy("field", "token")
-    kept = (
-        current.withColumn("weight", weight)
-        .filter(F.col("weight") > 0)
-        .withColumn(
-            "place", F.row_number().over(per_word.orderBy(F.desc("weight"), F.asc("term")))
+    weight = "1 - edits / least(char_length(token), char_length(term))"
+    place = "row_number() OVER (PARTITION BY field, token ORDER BY weight DESC, term)"
+    shared = "max(df) OVER (PARTITION BY field, token)"
+    return (
+        current.selectExpr("field", "token", "term", "df", f"{weight} AS weight")
+        .filter("df > 0 AND weight > 0")
+        .selectExpr("*", f"{place} AS place")
+        .filter(f"place <= {most}")
+        .selectExpr(
+            "field", "token", "term", "weight", f"{rarity(by_field(counts), shared)} AS idf"
         )
-        .filter(F.col("place") <= most)
-    )
-    shared = F.max("df").over(per_word)
-    return kept.select(
-        "field", "token", "term", "weight", rarity(stats[F.col("field")], shared).alias("idf")
     )
 
 
 def boosts(expansions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Weight of each index term for a query; `repeats` counts a repeated word."""
     return expansions.groupBy(*keys, "field", "term").agg(
-        F.sum(F.col("repeats") * F.col("weight") * F.col("idf")).alias("boost")
+        F.expr("sum(repeats * weight * idf)").alias("boost")
     )
 
 

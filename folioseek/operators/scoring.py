@@ -1,8 +1,10 @@
 """From matched postings to scored documents."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Mapping
 
-from folioseek.functions.ranking import rounded, saturation
+from pyspark.sql import DataFrame, functions as F
+
+from folioseek.functions.ranking import by_field, rounded, saturation
 from folioseek.schema import TEXT_FIELDS
 
 VERSION = ("file_path", "batch_id")
@@ -10,27 +12,24 @@ VERSION = ("file_path", "batch_id")
 
 def score_documents(
     matched: DataFrame,
-    averages: Column,
+    averages: Mapping[str, float],
     keys: tuple[str, ...] = (),
     fields: tuple[str, ...] = TEXT_FIELDS,
-    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Best field's BM25 score of every matched document.
 
-    `matched` holds postings with the query's `boost`; `averages` maps a field
-    to its mean length. One grouping: each field is summed on its own and the
-    largest sum is the score. `carry` names file columns to keep.
+    `matched` holds postings with the query's `boost`; `averages` gives the mean
+    length per field. One grouping: each field is summed on its own and the
+    largest sum is the score.
     """
-    earned = F.col("boost") * saturation(
-        F.col("tf"), F.col("dl"), averages[F.col("field")]
-    )
+    earned = f"boost * {saturation('tf', 'dl', by_field(averages))}"
     sums = [
-        F.sum(F.when(F.col("field") == name, earned)).alias(f"_{name}") for name in fields
+        F.expr(f"sum({earned}) FILTER (WHERE field = '{name}')").alias(f"_{name}")
+        for name in fields
     ]
-    grouped = matched.groupBy(*keys, *VERSION, *carry).agg(*sums)
-    parts = [F.coalesce(F.col(f"_{name}"), F.lit(0.0)) for name in fields]
-    best = F.greatest(*parts) if len(parts) > 1 else parts[0]
-    return grouped.select(*keys, *VERSION, rounded(best).alias("score"), *carry)
+    best = rounded(f"greatest({', '.join(f'_{name}' for name in fields)}, 0D)")
+    grouped = matched.groupBy(*keys, *VERSION).agg(*sums)
+    return grouped.selectExpr(*keys, *VERSION, f"{best} AS score")
 
 
 def matched_documents(matched: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:

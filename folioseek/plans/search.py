@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as
 from folioseek.functions import listed, strings
 from folioseek.functions.display import MAX_HIGHLIGHTS, highlights, summary_lines
 from folioseek.functions.edits import check_fuzziness
-from folioseek.functions.ranking import rarity
+from folioseek.functions.ranking import by_field, rarity
 from folioseek.functions.text import placed_terms
 from folioseek.operators.clauses import match_clauses, match_phrase
 from folioseek.operators.filters import Filters, keep_if, ordering, top, window_of
@@ -177,7 +177,7 @@ def bool_search(
     terms = [row for row in clauses if row["term"] in wanted]
     matched = _postings_of(index, clauses, Filters())
     scored = without_superseded(
-        match_clauses(matched, *groups, _average(index, field)), index.superseded()
+        match_clauses(matched, *groups, index.per_field("avgdl")[field]), index.superseded()
     )
     order = ordering("score", "desc")
     return _hits(index, scored, order, 0, size, terms, max_highlights)
@@ -206,7 +206,7 @@ def phrase_search(
         words,
         [item["pos"] for item in placed],
         sum(weights[word] for word in words),
-        _average(index, field),
+        index.per_field("avgdl")[field],
     )
     scored = without_superseded(scored, index.superseded())
     order = ordering("score", "desc")
@@ -232,12 +232,14 @@ def search_many(
         F.expr(f"explode({placed_terms('query_text', index.analyzer)})").alias("placed"),
     ).groupBy("query_id", F.col("placed.term").alias("token"))
     asked = words.agg(F.count(F.lit(1)).alias("repeats"))
-    near = near_words(
-        index.term_changes().drop("cf", "docs"),
-        asked.select("token").distinct(),
-        fuzziness,
-    )
-    expansions = best_expansions(near, index.field_map("n"))
+    tokens = asked.select("token").distinct()
+    few = tokens.limit(LITERAL_WORDS + 1).collect()
+    if len(few) <= LITERAL_WORDS:
+        near = near_literals(_vocabulary(index), [row["token"] for row in few], fuzziness)
+    else:
+        near = near_words(_vocabulary(index), tokens, fuzziness)
+    merged = len(index.batches) == 1
+    expansions = best_expansions(near, index.per_field("n"), merged)
     terms = boosts(asked.join(expansions, "token"), ("query_id",))
     terms = with_bucket(terms, index.term_buckets or 1)
     few = _if_few(terms)
@@ -247,7 +249,7 @@ def search_many(
         terms = F.broadcast(local_table(index.spark, few, terms.schema))
         postings = index.posting_versions({row["term_bucket"] for row in few})
     matched = postings.join(terms, ["term_bucket", "field", "term"])
-    scored = score_documents(matched, index.field_map("avgdl"), ("query_id",))
+    scored = score_documents(matched, index.per_field("avgdl"), ("query_id",))
     scored = without_superseded(scored, index.superseded())
     best = Window.partitionBy("query_id").orderBy(*ordering("score", "desc"))
     kept = scored.withColumn("place", F.row_number().over(best))
@@ -288,18 +290,21 @@ def query_terms(
     words = [word["term"] for word in query_words(spark, query_text, index.analyzer)]
     if not words:
         return []
-    vocabulary = index.term_changes()
     if len(set(words)) <= LITERAL_WORDS:
-        near = near_literals(vocabulary.select("field", "term", "term_len", "df"), words, fuzziness)
+        near = near_literals(_vocabulary(index), words, fuzziness)
     else:
         each = f"explode({strings(sorted(set(words)))})"
         tokens = spark.range(1).select(F.expr(each).alias("token"))
-        near = near_words(vocabulary.drop("cf", "docs"), tokens, fuzziness)
+        near = near_words(_vocabulary(index), tokens, fuzziness)
     merged = len(index.batches) == 1
-    weighted = best_expansions(near, index.field_map("n"), merged)
+    weighted = best_expansions(near, index.per_field("n"), merged)
     return _summed(with_bucket(weighted, index.term_buckets).collect(), Counter(words))
 
 
+def _vocabulary(index: DocumentIndex) -> DataFrame:
+    return index.term_changes().drop("cf", "docs")
+
+
 def _summed(expansions: list[Row], repeats: Counter) -> list[Row]:
     """One weight per field and term, over the query words that lead to it."""
     found: dict[tuple, float] = {}
@@ -326,16 +331,11 @@ def _exact_terms(index: DocumentIndex, words: list[str], field: str) -> list[Row
         & _one_of("term", sorted(set(words)))
     )
     counted = found.groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df > 0")
-    idf = rarity(index.field_map("n")[F.col("field")], F.col("df"))
-    terms = counted.select("field", "term", idf.alias("boost"))
+    idf = rarity(by_field(index.per_field("n")), "df")
+    terms = counted.selectExpr("field", "term", f"{idf} AS boost")
     return with_bucket(terms, index.term_buckets).collect()
 
 
-def _average(index: DocumentIndex, field: str) -> float:
-    found = index.field_stats.get(field)
-    return float(found["avgdl"]) if found else 1.0
-
-
 # Documents
 
 
@@ -363,7 +363,7 @@ def _postings_of(index: DocumentIndex, terms: list[Row], filters: Filters) -> Da
 def _scored(index: DocumentIndex, terms: list[Row], filters: Filters) -> DataFrame:
     """Scores count over the whole corpus; filters only leave documents out."""
     matched = _postings_of(index, terms, filters)
-    return _current(index, score_documents(matched, index.field_map("avgdl")), filters)
+    return _current(index, score_documents(matched, index.per_field("avgdl")), filters)
 
 
 def _current(index: DocumentIndex, rows: DataFrame, filters: Filters) -> DataFrame:
@@ -438,8 +438,13 @@ def _no_hits(index: DocumentIndex) -> DataFrame:
 
 
 def _one_of(name: str, values: list[str]) -> Column:
-    """Membership in short lists, each of which the Parquet reader can use."""
+    """Membership in a list, said twice if it is long.
+
+    The whole list is a hash lookup that settles nearly every row; the same
+    values in short lists are what the Parquet reader can skip pages by.
+    """
     if not values:
         return F.lit(False)
     lists = [values[at : at + PUSHED_VALUES] for at in range(0, len(values), PUSHED_VALUES)]
-    return F.expr(" OR ".join(f"{name} IN ({listed(part)})" for part in lists))
+    short = " OR ".join(f"{name} IN ({listed(part)})" for part in lists)
+    return F.expr(f"{name} IN ({listed(values)}) AND ({short})" if len(lists) > 1 else short)

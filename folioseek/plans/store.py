@@ -12,7 +12,7 @@ from functools import cached_property
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from folioseek.functions.text import check_analyzer
 from folioseek.operators.changes import one_per_path, replaced_versions
@@ -185,11 +185,10 @@ class DocumentIndex:
         )
         return {row["field"]: row for row in rows}
 
-    def field_map(self, name: str) -> Column:
-        """`n` or `avgdl` by field, as a constant map."""
-        found = {field: 1.0 for field in TEXT_FIELDS}
-        found |= {field: float(row[name]) for field, row in self.field_stats.items()}
-        return F.create_map(*[F.lit(part) for pair in found.items() for part in pair])
+    def per_field(self, name: str) -> dict[str, float]:
+        """`n` or `avgdl` of every text field; 1 where a field has no terms."""
+        found = {field: float(row[name]) for field, row in self.field_stats.items()}
+        return {field: 1.0 for field in TEXT_FIELDS} | found
 
     def count_documents(self) -> int:
         return sum(row["indexed"] - row["superseded"] for row in self._live)

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from folioseek.functions.edits import allowed_edits_of
 from folioseek.operators.matching import (
@@ -91,8 +90,7 @@ def test_allowed_edits_at_the_bounds(word, most):
 def test_best_expansions_cap_and_share_df(spark):
     rows = [("content", f"t{n:03}", "t000x", 1 + (n > 0), n + 1) for n in range(80)]
     near = spark.createDataFrame(rows, "field string, term string, token string, edits int, df long")
-    stats = F.create_map(F.lit("content"), F.lit(1000.0))
-    kept = best_expansions(near, stats).collect()
+    kept = best_expansions(near, {"content": 1000.0}).collect()
     assert len(kept) == 50
     assert {row["term"] for row in kept} == {f"t{n:03}" for n in range(50)}
     assert len({row["idf"] for row in kept}) == 1
@@ -101,5 +99,4 @@ def test_best_expansions_cap_and_share_df(spark):
 def test_counts_of_batches_add_up(spark):
     rows = [("content", "abc", "abc", 0, 2), ("content", "abc", "abc", 0, -2)]
     near = spark.createDataFrame(rows, "field string, term string, token string, edits int, df long")
-    stats = F.create_map(F.lit("content"), F.lit(10.0))
-    assert best_expansions(near, stats).collect() == []
+    assert best_expansions(near, {"content": 10.0}).collect() == []

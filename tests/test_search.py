@@ -214,6 +214,8 @@ def test_search_many_equals_single_searches(spark, index, monkeypatch):
     assert found() == expected
     monkeypatch.setattr("folioseek.plans.search.BROADCAST_ROWS", 0)
     assert found() == expected
+    monkeypatch.setattr("folioseek.plans.search.LITERAL_WORDS", 0)
+    assert found() == expected
 
 
 def test_summary_lines(spark, index):
