@@ -29,6 +29,11 @@ WORD_MARKS = {"tab": "\t", "ptab": "\t", "cr": "\n", "noBreakHyphen": "-"}
 # Built-in spreadsheet number formats that show a date or time.
 DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 
+# A cell reference in a formula; text and sheet names in quotes are passed over.
+CELL_REFERENCE = re.compile(
+    r"""(?:"[^"]*"|'[^']*')|(?<![A-Za-z0-9_.$])(\$?)([A-Z]{1,3})(\$?)([0-9]+)(?![A-Za-z0-9_(.])"""
+)
+
 
 def decode_csv(data: bytes) -> Decoded:
     import pandas as pd
@@ -117,17 +122,62 @@ def _date_styles(archive: zipfile.ZipFile) -> set[int]:
 
 
 def _sheet_lines(root, shared: list[str], dates: set[int], epoch: datetime) -> Iterator[str]:
+    origins: dict[str, tuple[str, str]] = {}
     for row in root.findall(f"{SHEET}sheetData/{SHEET}row"):
-        values = [_cell_value(cell, shared, dates, epoch) for cell in row.findall(f"{SHEET}c")]
+        values = [
+            _formula(cell, origins) or _cell_value(cell, shared, dates, epoch)
+            for cell in row.findall(f"{SHEET}c")
+        ]
         shown = [str(value) for value in values if value]
         if shown:
             yield " ".join(shown)
 
 
-def _cell_value(cell, shared: list[str], dates: set[int], epoch: datetime):
+def _formula(cell, origins: dict[str, tuple[str, str]]) -> str | None:
+    """Formula of a cell as written; a shared one is moved to where it is used."""
     formula = cell.find(f"{SHEET}f")
-    if formula is not None:
-        return f"={formula.text or ''}"
+    if formula is None:
+        return None
+    group, text, place = formula.get("si"), formula.text or "", cell.get("r", "A1")
+    if formula.get("t") == "shared" and not text and group in origins:
+        text = _moved(*origins[group], place)
+    elif formula.get("t") == "shared":
+        origins[group] = text, place
+    return f"={text}"
+
+
+def _moved(text: str, origin: str, place: str) -> str:
+    (column, row), (to_column, to_row) = _coordinates(origin), _coordinates(place)
+
+    def move(found: re.Match) -> str:
+        fixed_column, letters, fixed_row, digits = found.groups()
+        if letters is None:
+            return found.group()
+        at_column, at_row = _coordinates(letters + digits)
+        at_column += 0 if fixed_column else to_column - column
+        at_row += 0 if fixed_row else to_row - row
+        return f"{fixed_column}{_letters(at_column)}{fixed_row}{at_row}"
+
+    return CELL_REFERENCE.sub(move, text)
+
+
+def _coordinates(reference: str) -> tuple[int, int]:
+    letters = reference.rstrip("0123456789")
+    column = 0
+    for letter in letters:
+        column = column * 26 + ord(letter) - ord("A") + 1
+    return column, int(reference[len(letters) :])
+
+
+def _letters(column: int) -> str:
+    out = ""
+    while column > 0:
+        column, rest = divmod(column - 1, 26)
+        out = chr(ord("A") + rest) + out
+    return out
+
+
+def _cell_value(cell, shared: list[str], dates: set[int], epoch: datetime):
     kind, raw = cell.get("t", "n"), cell.findtext(f"{SHEET}v")
     if kind == "inlineStr":
         inner = cell.find(f"{SHEET}is")

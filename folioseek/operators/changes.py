@@ -18,14 +18,19 @@ def latest_versions(documents: DataFrame) -> DataFrame:
 
 
 def one_per_path(documents: DataFrame) -> DataFrame:
-    """Settle repeated paths inside one batch: newest, then a fixed choice."""
-    choice = Window.partitionBy("file_path").orderBy(
+    """Settle repeated paths inside one batch: newest, then a fixed choice.
+
+    Rows without a path are all kept.
+    """
+    alone = F.when(F.col("file_path").isNull(), F.monotonically_increasing_id())
+    choice = Window.partitionBy("file_path", "_alone").orderBy(
         F.desc_nulls_last("modified_at"), F.desc_nulls_last("content_hash")
     )
     return (
-        documents.withColumn("_place", F.row_number().over(choice))
-        .filter("_place = 1 OR file_path IS NULL")
-        .drop("_place")
+        documents.withColumn("_alone", alone)
+        .withColumn("_place", F.row_number().over(choice))
+        .filter("_place = 1")
+        .drop("_alone", "_place")
     )
 
 

@@ -32,6 +32,15 @@ def score_documents(
     return grouped.selectExpr(*keys, *VERSION, f"{best} AS score")
 
 
+def score_postings(matched: DataFrame, averages: Mapping[str, float]) -> DataFrame:
+    """`score_documents` for a single index term: one posting a document.
+
+    Nothing has to be grouped, so the search runs without a shuffle.
+    """
+    earned = f"boost * {saturation('tf', 'dl', by_field(averages))}"
+    return matched.selectExpr(*VERSION, f"{rounded(earned)} AS score")
+
+
 def matched_documents(matched: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Matched documents without a score, each once."""
     return matched.select(*VERSION, *carry).distinct()

@@ -5,6 +5,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioseek.functions.decoders import Decoder
+from folioseek.functions.text import normalize_text
 from folioseek.operators.changes import new_or_changed, new_or_modified_files
 from folioseek.plans.store import Batch, DocumentIndex
 from folioseek.sources.extraction import extract_documents
@@ -12,10 +13,22 @@ from folioseek.sources.files import file_records, scan_folder
 
 
 def process_folder(
-    spark: SparkSession, folder: str, decoders: Mapping[str, Decoder] | None = None
+    spark: SparkSession,
+    folder: str,
+    decoders: Mapping[str, Decoder] | None = None,
+    normalize: bool = False,
 ) -> DataFrame:
     """Every supported file below a folder with its text or a reason."""
-    return extract_documents(scan_folder(spark, folder), decoders)
+    return _documents(scan_folder(spark, folder), decoders, normalize)
+
+
+def _documents(
+    files: DataFrame, decoders: Mapping[str, Decoder] | None, normalize: bool
+) -> DataFrame:
+    documents = extract_documents(files, decoders)
+    if normalize:
+        documents = documents.withColumn("content", F.expr(normalize_text("content")))
+    return documents
 
 
 def index_documents(
@@ -35,14 +48,18 @@ def index_folder(
     folder: str,
     mode: str = "append",
     decoders: Mapping[str, Decoder] | None = None,
+    normalize: bool = False,
 ) -> Batch:
     """Scan a folder, extract on the executors and index, as one batch."""
     files = scan_folder(index.spark, folder)
-    return _index_files(index, files, mode, decoders)
+    return _index_files(index, files, mode, decoders, normalize)
 
 
 def index_new_files(
-    index: DocumentIndex, folder: str, decoders: Mapping[str, Decoder] | None = None
+    index: DocumentIndex,
+    folder: str,
+    decoders: Mapping[str, Decoder] | None = None,
+    normalize: bool = False,
 ) -> Batch:
     """Index only files that are new or whose size or time changed.
 
@@ -67,7 +84,7 @@ def index_new_files(
     wanted = near.join(
         changed.select(F.col("file_path").alias("path")), "path", "left_semi"
     )
-    return _index_files(index, wanted, "append", decoders)
+    return _index_files(index, wanted, "append", decoders, normalize)
 
 
 def index_changed_documents(index: DocumentIndex, documents: DataFrame) -> Batch:
@@ -81,7 +98,9 @@ def _index_files(
     files: DataFrame,
     mode: str,
     decoders: Mapping[str, Decoder] | None,
+    normalize: bool,
 ) -> Batch:
     if files.select("path").isEmpty():
         return Batch(None, 0, 0, index.quarantine().limit(0))
-    return index.append(extract_documents(files, decoders), mode, unique_paths=True)
+    documents = _documents(files, decoders, normalize)
+    return index.append(documents, mode, unique_paths=True)

@@ -34,6 +34,7 @@ from folioseek.operators.scoring import (
     VERSION,
     matched_documents,
     score_documents,
+    score_postings,
     without_superseded,
 )
 from folioseek.operators.trends import frequent_terms
@@ -362,8 +363,9 @@ def _postings_of(index: DocumentIndex, terms: list[Row], filters: Filters) -> Da
 
 def _scored(index: DocumentIndex, terms: list[Row], filters: Filters) -> DataFrame:
     """Scores count over the whole corpus; filters only leave documents out."""
+    score = score_postings if len(terms) == 1 else score_documents
     matched = _postings_of(index, terms, filters)
-    return _current(index, score_documents(matched, index.per_field("avgdl")), filters)
+    return _current(index, score(matched, index.per_field("avgdl")), filters)
 
 
 def _current(index: DocumentIndex, rows: DataFrame, filters: Filters) -> DataFrame:

@@ -244,7 +244,10 @@ class DocumentIndex:
             rows.withColumn("outcome", outcome).sortWithinPartitions("outcome", "file_path"),
             "documents",
             "outcome",
-            **{"parquet.bloom.filter.enabled#file_path": "true"},
+            **{
+                "parquet.bloom.filter.enabled#file_path": "true",
+                "parquet.bloom.filter.adaptive.enabled": "true",
+            },
         )
         written = saved("documents", DOCUMENTS_TABLE)
         # At most two rows: the outcomes.

@@ -99,6 +99,22 @@ def test_xlsx_values():
     assert metadata["sheets"] == "2"
 
 
+def test_shared_formula_is_moved():
+    rows = (
+        '<row><c r="A1"><f t="shared" si="0" ref="A1:B2">SUM(C1:$D$4)&amp;"A1"</f></c>'
+        '<c r="B1"><f t="shared" si="0"/></c></row>'
+        '<row><c r="Z2"><f t="shared" si="0"/></c></row>'
+    )
+    assert decode_xlsx(xlsx(rows))[0] == (
+        '=SUM(C1:$D$4)&"A1" =SUM(D1:$D$4)&"A1"\n=SUM(AB2:$D$4)&"A1"'
+    )
+
+
+def test_normalized_folder(spark, folder):
+    rows = process_folder(spark, str(folder), normalize=True).filter("file_name = 'c.csv'")
+    assert rows.first()["content"].startswith("id name age\n1 John Doe 30")
+
+
 def test_one_bad_file_does_not_stop_the_rest(extracted):
     assert extracted["broken.docx"]["reason"].startswith("failed: BadZipFile")
     assert extracted["ragged.csv"]["reason"].startswith("failed: ParserError")
