@@ -114,7 +114,9 @@ def _on_documents(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(documents(spark, sf_dir))
 
 
-def _on_index(build: Callable[[DocumentIndex], DataFrame], name: str = "plain", analyzer: str = "standard") -> Query:
+def _on_index(
+    build: Callable[[DocumentIndex], DataFrame], name: str = "plain", analyzer: str = "standard"
+) -> Query:
     return lambda spark, sf_dir: build(saved_index(spark, sf_dir, name, analyzer))
 
 

@@ -293,7 +293,10 @@ class DocumentIndex:
             gone = saved("superseded", SUPERSEDED_SCHEMA)
             replaced = gone.count()
             if replaced:
-                old = self.posting_versions().join(
+                # One row per batch at most: the batches that lose documents.
+                hit = gone.select("old_batch_id").distinct().collect()
+                touched = F.col("batch_id").isin([row["old_batch_id"] for row in hit])
+                old = self.posting_versions().filter(touched).join(
                     gone.select("file_path", F.col("old_batch_id").alias("batch_id")),
                     ["file_path", "batch_id"],
                     "left_semi",
@@ -325,7 +328,10 @@ class DocumentIndex:
 
     def _commit(self, **values) -> None:
         row = {"batch_id": 0, "indexed": 0, "quarantined": 0, "superseded": 0} | values
-        columns = [F.lit(row.get(item.name)).cast(item.dataType).alias(item.name) for item in COMMIT_SCHEMA]
+        columns = [
+            F.lit(row.get(item.name)).cast(item.dataType).alias(item.name)
+            for item in COMMIT_SCHEMA
+        ]
         one = self.spark.range(1).select(*columns).coalesce(1)
         one.write.mode("append").json(f"{self.path}/commits")
 

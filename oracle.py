@@ -278,7 +278,10 @@ def oracle_queries() -> dict[str, str]:
         "SELECT * FROM (VALUES (1, 'the'), (2, 'thereou quene'), (3, 'réaution'), "
         "(4, 'doc_12.en')) AS q (query_id, query_text)"
     )
-    term_stats = "SELECT field, term, df, CAST(length(term) AS INTEGER) AS term_len, CAST(cf AS BIGINT) AS cf FROM dfs"
+    term_stats = (
+        "SELECT field, term, df, CAST(length(term) AS INTEGER) AS term_len, "
+        "CAST(cf AS BIGINT) AS cf FROM dfs"
+    )
     return {
         "document_records": listing("file_name, file_path, file_type, content, file_size"),
         "normalized_text": normalized(),

@@ -47,7 +47,9 @@ def xlsx(*sheets, shared=()):
         '<cellXfs><xf numFmtId="0"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs>'
     )
     parts = {
-        "xl/workbook.xml": f'<workbook xmlns="{S}" xmlns:r="{R}"><sheets>{names}</sheets></workbook>',
+        "xl/workbook.xml": (
+            f'<workbook xmlns="{S}" xmlns:r="{R}"><sheets>{names}</sheets></workbook>'
+        ),
         "xl/_rels/workbook.xml.rels": f"<Relationships>{links}</Relationships>",
         "xl/sharedStrings.xml": f'<sst xmlns="{S}">{strings}</sst>',
         "xl/styles.xml": f'<styleSheet xmlns="{S}">{styles}</styleSheet>',

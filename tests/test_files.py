@@ -46,7 +46,8 @@ def extracted(spark, folder):
 
 
 def test_scan_finds_supported_files_below_the_folder(spark, folder):
-    found = {row["path"].rsplit("/", 1)[-1] for row in scan_folder(spark, folder).select("path").collect()}
+    rows = scan_folder(spark, folder).select("path").collect()
+    found = {row["path"].rsplit("/", 1)[-1] for row in rows}
     assert found == {
         "a.docx", "b.xlsx", "c.csv", "D.CSV", "hdr.csv", "ragged.csv", "broken.docx",
         "e.pdf", "f.xls", "g.doc", "a b é.csv", "p%20q.csv",

@@ -112,7 +112,11 @@ def test_uncommitted_leftovers_are_ignored_and_replaced(spark, tmp_path):
 def test_bad_rows_are_quarantined(spark, tmp_path):
     rows = as_documents(spark, FIRST + [("/d/e", "csv", ""), ("/d/s", "csv", " ")])
     rows = rows.selectExpr(
-        "file_name", "if(file_path = '/d/a', NULL, file_path) AS file_path", "file_type", "content", "file_size"
+        "file_name",
+        "if(file_path = '/d/a', NULL, file_path) AS file_path",
+        "file_type",
+        "content",
+        "file_size",
     )
     DocumentIndex.create(spark, str(tmp_path))
     batch = index_documents(opened(spark, tmp_path), rows)
@@ -143,7 +147,8 @@ def test_empty_input(spark, tmp_path):
 
 
 def test_records(spark):
-    record = {"file_name": "a", "file_path": "/a", "file_type": "csv", "content": "x", "file_size": 1}
+    names = ("file_name", "file_path", "file_type", "content", "file_size")
+    record = dict(zip(names, ("a", "/a", "csv", "x", 1)))
     assert documents_from_records(spark, [record]).first().asDict() == record
 
 

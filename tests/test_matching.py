@@ -12,6 +12,9 @@ from folioseek.operators.matching import (
 )
 
 
+NEAR = "field string, term string, token string, edits int, df long"
+
+
 def edits(left, right):
     """Unrestricted Damerau-Levenshtein distance, textbook form."""
     last, far = {}, len(left) + len(right)
@@ -89,7 +92,7 @@ def test_allowed_edits_at_the_bounds(word, most):
 
 def test_best_expansions_cap_and_share_df(spark):
     rows = [("content", f"t{n:03}", "t000x", 1 + (n > 0), n + 1) for n in range(80)]
-    near = spark.createDataFrame(rows, "field string, term string, token string, edits int, df long")
+    near = spark.createDataFrame(rows, NEAR)
     kept = best_expansions(near, {"content": 1000.0}).collect()
     assert len(kept) == 50
     assert {row["term"] for row in kept} == {f"t{n:03}" for n in range(50)}
@@ -98,5 +101,5 @@ def test_best_expansions_cap_and_share_df(spark):
 
 def test_counts_of_batches_add_up(spark):
     rows = [("content", "abc", "abc", 0, 2), ("content", "abc", "abc", 0, -2)]
-    near = spark.createDataFrame(rows, "field string, term string, token string, edits int, df long")
+    near = spark.createDataFrame(rows, NEAR)
     assert best_expansions(near, {"content": 10.0}).collect() == []

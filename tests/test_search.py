@@ -233,7 +233,10 @@ def test_odd_paths_are_found(make_index):
 
 def test_portuguese_index(make_index):
     index = make_index(
-        [("/p/a.pdf", "pdf", "As ações da Controladoria-Geral"), ("/p/b.pdf", "pdf", "Outro texto")],
+        [
+            ("/p/a.pdf", "pdf", "As ações da Controladoria-Geral"),
+            ("/p/b.pdf", "pdf", "Outro texto"),
+        ],
         "pt",
     )
     hits = search_documents(index, "acao", fuzziness=0).collect()
