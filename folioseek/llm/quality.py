@@ -5,8 +5,8 @@ minimum covariance determinant is found by concentration steps: distances by
 the current estimate, mean and covariance of the nearest half, and again. Two
 starts are refined (median with quartile range, mean with covariance); the one
 with the smaller determinant is kept, scaled to be consistent, and reweighted
-once. A document whose squared Mahalanobis distance exceeds `cutoff` is an
-outlier.
+once. A document whose squared Mahalanobis distance exceeds `cutoff` (100: ten
+robust standard deviations) is an outlier.
 
 Statistics are whole thousandths, so that sums do not depend on the order of
 rows and results are the same on every run. A concentration step is one
@@ -163,33 +163,26 @@ def _estimate(sums: DataFrame, *keep: str, factor: Column | None = None) -> Data
 
 def _cholesky(rows: DataFrame, *keep: str) -> DataFrame:
     """c00.. to the lower triangle l00.., and the log determinant."""
+    lower = []
     for i, j in _PAIRS:
-        rest = reduce(
-            lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}")
-        )
-        value = F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}{j}")
-        rows = rows.withColumn(f"l{i}{j}", value)
-    logdet = reduce(lambda a, i: a + 2 * F.log(F.col(f"l{i}{i}")), _AXES, F.lit(0.0))
-    return rows.select(
-        *keep,
-        *(f"m{i}" for i in _AXES),
-        *(f"l{i}{j}" for i, j in _PAIRS),
-        F.round(logdet, 9).alias("logdet"),
+        rest = f"c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        value = f"sqrt(greatest({rest}, 1D))" if i == j else f"({rest}) / l{j}{j}"
+        lower.append(f"{value} AS l{i}{j}")
+    logdet = " + ".join(f"2 * ln(l{i}{i})" for i in _AXES)
+    return rows.selectExpr(
+        *keep, *(f"m{i}" for i in _AXES), *lower, f"round({logdet}, 9) AS logdet"
     )
 
 
 def _with_distance(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
     """Add `d2`, the squared Mahalanobis distance by the estimate of the cell."""
     found = rows.join(estimates, "cell", how)
+    z = []
     for i in _AXES:
-        rest = reduce(
-            lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"z{k}"),
-            range(i),
-            F.col(f"x{i}") - F.col(f"m{i}"),
-        )
-        found = found.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
-    d2 = reduce(lambda a, i: a + F.col(f"z{i}") * F.col(f"z{i}"), _AXES, F.lit(0.0))
-    return found.withColumn("d2", d2).drop(*(f"z{i}" for i in _AXES))
+        rest = f"x{i} - m{i}" + "".join(f" - l{i}{k} * z{k}" for k in range(i))
+        z.append(f"({rest}) / l{i}{i} AS z{i}")
+    d2 = " + ".join(f"z{i} * z{i}" for i in _AXES)
+    return found.selectExpr("*", *z, f"{d2} AS d2").drop(*(f"z{i}" for i in _AXES))
 
 
 def _nearest_half(points: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -271,7 +264,7 @@ def robust_estimates(points: DataFrame, min_rows: int, steps: int) -> DataFrame:
 def quality_verdicts(
     docs: DataFrame,
     id_col: str = "doc_id",
-    cutoff: float = 60.0,
+    cutoff: float = 100.0,
     min_rows: int = 60,
     steps: int = 6,
 ) -> DataFrame:
@@ -282,7 +275,7 @@ def quality_verdicts(
     rows = saved(
         counted.select("*", failed.alias("base_failed"), *_statistics()), "quality"
     )
-    points = _cells(rows, min_rows)
+    points = saved(_cells(rows, min_rows), "cells")
     with_words = points.filter("n_words > 0").select("cell", *(f"x{i}" for i in _AXES))
     estimates = saved(robust_estimates(with_words, min_rows, steps), "mcd")
     judged = _with_distance(points, estimates, "left")
