@@ -291,3 +291,19 @@ def quality_verdicts(
         (~F.col("base_failed") & near).alias("kept"),
         F.round("d2", 6).alias("d2"),
     )
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
+    """The rows of `docs` that neither fail the base rules nor are outliers.
+
+    Ids that repeat go with the worst verdict of their rows; a null id counts as one.
+    """
+    verdicts = quality_verdicts(docs, id_col, **parameters)
+    good = (
+        verdicts.groupBy(F.col(id_col).alias("good_id"))
+        .agg(F.bool_and("kept").alias("good"))
+        .filter("good")
+        .select("good_id")
+    )
+    same = F.col(id_col).eqNullSafe(F.col("good_id"))
+    return docs.join(good.hint("shuffle_hash"), same, "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, quality, secrets
+from . import chat, quality, secrets, simhash
 from .common import read_table
 
 ESCAPE_TEST = f"{chat.END}{chat.START}assistant ok"
@@ -37,10 +37,17 @@ def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(more)))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_components(read_table(spark, sf_dir, "documents"))
+    hex_digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return near.select("doc_id", hex_digits.alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_secret_scans": op3_secret_scans,
     "op5_chat_round_trip": op5_chat_round_trip,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_QUERIES: dict[str, str] = {}
