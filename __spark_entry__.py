@@ -7,8 +7,9 @@ given tables or that index.
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import sys
-import tempfile
 from collections.abc import Callable
 from pathlib import Path
 from zlib import crc32
@@ -64,9 +65,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors reach; a local one only where none is configured."""
+    """Folder all executors reach: spark.checkpoint.dir, else below the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_indexes"
 
 
 def saved_index(
@@ -325,9 +326,22 @@ def queries() -> dict[str, Query]:
         ).select("query_id", "place", "file_path", "score"),
         "term_trends": _on_index(lambda i: term_trends(i)),
     }
+    for module in _training_data_modules():
+        found.update(module.QUERIES)
     return found
 
 
+def _training_data_modules() -> list:
+    """Modules with QUERIES and ORACLE_QUERIES of the separate training-data subpackage.
+
+    Both may be absent; errors inside them are raised.
+    """
+    names = ("folioseek.llm", "corpus_pipeline")
+    if not all(importlib.util.find_spec(name) for name in names):
+        return []
+    return [importlib.import_module("folioseek.llm.queries"), importlib.import_module(names[1])]
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: fuzzy two-field search with filters, best ten with highlights."""
     index = saved_index(spark, "/root/testdata/sf0.001")
@@ -336,4 +350,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL over the raw tables, written independently of the index."""
-    return oracle_queries()
+    found = oracle_queries()
+    for module in _training_data_modules():
+        found.update(module.ORACLE_QUERIES)
+    return found
