@@ -111,34 +111,33 @@ def _part(value: Column, lo: int, hi: int) -> Column:
 _TABLES = [(0, 0, 11), (0, 11, 22), (0, 22, 32), (1, 0, 16), (1, 16, 32)]
 
 
+def _key(place: int, own: Column, other: Column, lo: int, hi: int) -> Column:
+    return F.struct(F.lit(place).alias("t"), own.alias("s"), _part(other, lo, hi).alias("p"))
+
+
+def _flips(own: Column) -> Column:
+    """The segment with one of its zero bits set, for each of them."""
+    bits = F.sequence(F.lit(0), F.lit(SEGMENT - 1))
+    one = F.lit(1).cast("long")
+    return F.filter(
+        F.transform(bits, lambda b: own.bitwiseOR(F.call_function("shiftleft", one, b))),
+        lambda x: x != own,
+    )
+
+
+def _probes(place: int, own: Column, other: Column, lo: int, hi: int) -> Column:
+    return F.transform(_flips(own), lambda x: _key(place, x, other, lo, hi))
+
+
 def near_links(prints: DataFrame) -> DataFrame:
     """Pairs (u, v), u < v, of distinct fingerprints `fp` at two or fewer differing bits."""
     table, probe = [], []
     for side in (0, 1):
         own, other = _segment(side), _segment(1 - side)
         for t, (radius, lo, hi) in enumerate(_TABLES):
-            place = F.lit(side * len(_TABLES) + t)
-            key = F.struct(place.alias("t"), own.alias("s"), _part(other, lo, hi).alias("p"))
-            table.append(key)
-            if radius:
-                flips = F.filter(
-                    F.transform(
-                        F.sequence(F.lit(0), F.lit(SEGMENT - 1)),
-                        lambda b, own=own: own.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)),
-                    ),
-                    lambda x, own=own: x != own,
-                )
-                part = _part(other, lo, hi)
-                probe.append(
-                    F.transform(
-                        flips,
-                        lambda x, place=place, part=part: F.struct(
-                            place.alias("t"), x.alias("s"), part.alias("p")
-                        ),
-                    )
-                )
-            else:
-                probe.append(F.array(key))
+            where = (side * len(_TABLES) + t, own, other, lo, hi)
+            table.append(_key(*where))
+            probe.append(_probes(*where) if radius else F.array(_key(*where)))
     left = prints.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*probe))).alias("k"))
     right = prints.select(F.col("fp").alias("b"), F.explode(F.array(*table)).alias("k"))
     return (
