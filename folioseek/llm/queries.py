@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, quality, secrets, simhash
+from . import chat, quality, secrets, simhash, winnow
 from .common import read_table
 
 ESCAPE_TEST = f"{chat.END}{chat.START}assistant ok"
@@ -14,6 +14,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(read_table(spark, sf_dir, "documents"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.contamination(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_versions(read_table(spark, sf_dir, "documents"))
     base = F.filter("findings", lambda x: x["kind"].isin([r.kind for r in secrets.BASE_RULES]))
@@ -45,6 +59,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_secret_scans": op3_secret_scans,
     "op5_chat_round_trip": op5_chat_round_trip,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
