@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, quality, secrets, simhash, winnow
+from . import bestfit, chat, mixture, quality, secrets, simhash, winnow
 from .common import read_table
 
+VOCABULARY = "word_bpe_49k.json"
 ESCAPE_TEST = f"{chat.END}{chat.START}assistant ok"
 
 
+def tokenizer_path() -> str:
+    """Where the public vocabulary file lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,14 @@ def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(more)))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.pack_best_fit(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.pack_mixture(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_components(read_table(spark, sf_dir, "documents"))
     hex_digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -62,7 +78,9 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_secret_scans": op3_secret_scans,
     "op5_chat_round_trip": op5_chat_round_trip,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_mixture_packing": op10_mixture_packing,
 }
 
 ORACLE_QUERIES: dict[str, str] = {}
