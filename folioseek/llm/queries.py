@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bestfit, chat, mixture, quality, secrets, simhash, winnow
+from . import bestfit, bwtdedup, chat, mixture, quality, secrets, simhash, winnow
 from .common import read_table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -63,6 +63,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack_best_fit(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwtdedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.pack_mixture(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op3_secret_scans": op3_secret_scans,
     "op5_chat_round_trip": op5_chat_round_trip,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_mixture_packing": op10_mixture_packing,
 }
