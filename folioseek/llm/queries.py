@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bestfit, bwtdedup, chat, mixture, quality, secrets, simhash, winnow
+from . import bestfit, bwtdedup, chat, mixture, quality, secrets, simhash, toxicity, winnow
 from .common import read_table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -59,6 +59,11 @@ def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(turns.unionByName(more)))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack_best_fit(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_secret_scans": op3_secret_scans,
     "op5_chat_round_trip": op5_chat_round_trip,
+    "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
