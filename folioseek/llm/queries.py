@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bestfit, bwtdedup, chat, mixture, quality, secrets, simhash, toxicity, winnow
+from . import bestfit, bwtdedup, chat, classlm, mixture, quality, secrets, simhash, toxicity, winnow
 from .common import read_table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -52,6 +52,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.class_model_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = [(-1, 0, "user", ESCAPE_TEST), (-1, 1, "assistant", ESCAPE_TEST)]
@@ -86,6 +90,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_secret_scans": op3_secret_scans,
+    "op4_class_ngrams": op4_class_ngrams,
     "op5_chat_round_trip": op5_chat_round_trip,
     "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
