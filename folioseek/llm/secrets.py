@@ -227,27 +227,27 @@ def redact(docs: DataFrame, ledger_path: str | None = None, mark: str = "[SECRET
     found = (
         scan_versions(docs, ledger_path)
         .filter(F.size("findings") > 0)
-        .select(F.col("doc_id").alias("found_id"), F.col("blob_id").alias("found_blob"), "findings")
-        .dropDuplicates(["found_id", "found_blob"])
+        .select(F.col("doc_id").alias("__id"), F.col("blob_id").alias("__blob"), F.col("findings").alias("__found"))
+        .dropDuplicates(["__id", "__blob"])
     )
-    keyed = docs.withColumn("blob_now", F.sha2(F.coalesce("text", F.lit("")), 256))
+    keyed = docs.withColumn("__blob_now", F.sha2(F.coalesce("text", F.lit("")), 256))
     joined = keyed.join(
         found.hint("shuffle_hash"),
-        F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("blob_now") == F.col("found_blob")),
+        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__blob_now") == F.col("__blob")),
         "left",
     )
     # Each finding ends a kept piece; a finding inside an earlier one keeps nothing.
     ends = F.transform(
-        "findings",
+        "__found",
         lambda x, i: F.struct(
             x["start"].alias("start"),
             F.coalesce(
-                F.array_max(F.transform(F.slice("findings", F.lit(1), i), lambda y: y["end"])),
+                F.array_max(F.transform(F.slice("__found", F.lit(1), i), lambda y: y["end"])),
                 F.lit(0),
             ).alias("from"),
         ),
     )
-    last = F.array_max(F.transform("findings", lambda x: x["end"]))
+    last = F.array_max(F.transform("__found", lambda x: x["end"]))
 
     def cut(start: Column, end: Column) -> Column:
         return F.substring(F.col("text"), start.cast("int") + 1, (end - start).cast("int"))
@@ -255,7 +255,7 @@ def redact(docs: DataFrame, ledger_path: str | None = None, mark: str = "[SECRET
     kept = F.concat(
         F.array_join(
             F.transform(
-                "ends",
+                "__ends",
                 lambda e: F.when(
                     e["start"] >= e["from"], F.concat(cut(e["from"], e["start"]), F.lit(mark))
                 ).otherwise(F.lit("")),
@@ -264,9 +264,9 @@ def redact(docs: DataFrame, ledger_path: str | None = None, mark: str = "[SECRET
         ),
         F.substring(F.col("text"), last.cast("int") + 1, F.length("text")),
     )
-    text = F.when(F.size("findings") > 0, kept).otherwise(F.col("text"))
+    text = F.when(F.size("__found") > 0, kept).otherwise(F.col("text"))
     return (
-        joined.withColumn("ends", ends)
+        joined.withColumn("__ends", ends)
         .withColumn("text", text)
         .withColumn("n_chars", F.length("text").cast("long"))
         .select(docs.columns)
