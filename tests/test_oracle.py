@@ -23,11 +23,12 @@ def _in_order(rows):
     return sorted(rows, key=lambda row: [(value is None, str(value)) for value in row])
 
 
-def test_every_query_has_an_oracle():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+def test_every_search_query_has_an_oracle():
+    apart = {name for m in contract._training_data_modules() for name in m.QUERIES}
+    assert set(contract.queries()) - apart == set(contract.oracle_sql()) - apart
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_same_rows(spark, connection, name):
     found = contract.queries()[name](spark, str(DATA))
     wanted = connection.execute(contract.oracle_sql()[name])
