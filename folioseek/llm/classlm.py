@@ -127,6 +127,29 @@ class Known:
         self.rank = {w: i for i, w in enumerate(self.words)}
 
 
+def frequency_bin(n: Column) -> Column:
+    return F.floor(16 * F.log2(n)).cast("int")
+
+
+def _known_words(vocabulary: DataFrame, n_known: int, items: Items) -> Known:
+    """At most `n_known` words: all that are more frequent than a bound on the count.
+
+    The bound comes from a histogram of some hundred bins, so that no task sends
+    more than its share of these words to the driver.
+    """
+    bins = vocabulary.groupBy(frequency_bin(F.col("n")).alias("bin")).agg(F.count(F.lit(1)).alias("words"))
+    held, least = 0, 0
+    for r in sorted(bins.collect(), reverse=True):
+        held += r.words
+        if held > n_known:
+            least = r.bin + 1
+            break
+    top = vocabulary.filter(frequency_bin(F.col("n")) >= least).toArrow()
+    found = sorted(zip(top["n"].to_pylist(), top["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
+    words = [w for _, w in found]
+    return Known(words, np.array([n for n, _ in found], np.int64), items.of_rank(words))
+
+
 def _item_sizes(known, items: Items):
     """Distinct words and tokens of each item, from a vocabulary."""
 
@@ -411,9 +434,7 @@ def class_model_scores(
     )
     vocabulary = saved(word_counts(rows.filter("training")), "words")
     n_tokens, n_distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(n_known).collect()
-    words = [bytes(r.word) for r in top]
-    known = Known(words, np.array([r.n for r in top], np.int64), items.of_rank(words))
+    known = _known_words(vocabulary, n_known, items)
     shared = spark.sparkContext.broadcast(known)  # at most n_known words
     sizes = (
         vocabulary.mapInArrow(_item_sizes(shared, items), "item long, distinct long, total long")
