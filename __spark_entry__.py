@@ -31,7 +31,7 @@ from folioseek import (  # noqa: E402
 )
 from folioseek.functions.display import summary_lines
 from folioseek.functions.text import normalize_text
-from folioseek.operators.changes import latest_versions, new_or_changed
+from folioseek.operators.changes import new_or_changed
 from folioseek.operators.postings import sort_keys
 from folioseek.operators.trends import scan_counters
 from folioseek.sources.files import file_name, file_type
@@ -60,6 +60,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("text").alias("content"),
             F.octet_length("text").cast("long").alias("file_size"),
             F.timestamp_seconds(hours).alias("modified_at"),
+            F.create_map(F.lit("source"), F.col("source")).alias("metadata"),
         )
     )
 
@@ -79,12 +80,12 @@ def saved_index(
         place = f"folioseek-{key[0]}/{crc32(sf_dir.encode()):08x}-{name}"
         path = f"{shared_folder(spark).rstrip('/')}/{place}"
         index = DocumentIndex.create(spark, path, analyzer)
-        if not index.batches:
+        if not index.batches and name == "gaps":
+            index_documents(index, scan_with_gaps(spark, sf_dir), unique_paths=True)
+        elif not index.batches:
             index_documents(index, documents(spark, sf_dir), unique_paths=True)
         if name == "updated":
-            index_documents(
-                DocumentIndex(spark, path), second_scan(spark, sf_dir), unique_paths=True
-            )
+            index_documents(DocumentIndex(spark, path), repeated_scan(spark, sf_dir))
         _indexes[key] = DocumentIndex(spark, path)
     return _indexes[key]
 
@@ -99,6 +100,24 @@ def second_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later scan with an older state of every file in it; the newer one counts."""
+    scan = second_scan(spark, sf_dir)
+    stale = scan.withColumn("content", F.lit("stale")).withColumn(
+        "modified_at", F.expr("modified_at - INTERVAL 1 DAY")
+    )
+    return stale.unionByName(scan)
+
+
+def scan_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan that misses the French files and gets no text from the Spanish ones."""
+    return (
+        documents(spark, sf_dir)
+        .filter("file_type <> 'fr'")
+        .withColumn("content", F.expr("if(file_type = 'es', NULL, content)"))
+    )
+
+
 def watch_list(spark: SparkSession) -> DataFrame:
     """The fixed queries of the many-queries search."""
     return spark.sql(
@@ -127,53 +146,34 @@ def _epoch(rows: DataFrame) -> DataFrame:
     )
 
 
-def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = stored_rows(documents(spark, sf_dir)).withColumn("batch_id", F.lit(1))
-    second = stored_rows(second_scan(spark, sf_dir)).withColumn("batch_id", F.lit(2))
-    return first.unionByName(second)
-
-
-def _upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_versions(_versions(spark, sf_dir)).select(
-        "file_path", "content", "file_size", "batch_id"
-    )
-
-
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new scan of everything against an index of the first scan."""
-    scan = stored_rows(documents(spark, sf_dir)).filter("file_type != 'en'")
-    scan = scan.unionByName(stored_rows(second_scan(spark, sf_dir)))
-    index = saved_index(spark, sf_dir)
-    return new_or_changed(scan, index.documents()).select("file_path", "file_size")
-
-
-def _index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indexed and quarantined rows if Spanish texts came out empty."""
-    rows = documents(spark, sf_dir).withColumn(
-        "content", F.when(F.col("file_type") != "es", F.col("content"))
+    """Of a full scan: new (French) and changed (English) files, not failed or known ones."""
+    scan = scan_with_gaps(spark, sf_dir).filter("file_type <> 'en'")
+    scan = scan.unionByName(documents(spark, sf_dir).filter("file_type = 'fr'"))
+    scan = stored_rows(scan.unionByName(second_scan(spark, sf_dir)))
+    known = saved_index(spark, sf_dir, "gaps").known_files()
+    return new_or_changed(scan, known).select("file_path", "file_size")
+
+
+def _index_counts(index: DocumentIndex) -> DataFrame:
+    """Rows that an indexing call took in and set aside, from the tables it wrote."""
+    outcomes = index.documents().select(F.lit(True).alias("good")).unionByName(
+        index.quarantine().select(F.lit(False).alias("good"))
     )
-    return stored_rows(rows).agg(
-        F.count_if(F.col("reason").isNull()).alias("indexed"),
-        F.count_if(F.col("reason").isNotNull()).alias("quarantined"),
+    return outcomes.agg(
+        F.count_if("good").alias("indexed"), F.count_if(~F.col("good")).alias("quarantined")
     )
 
 
 def _field_stats(index: DocumentIndex) -> DataFrame:
-    return (
-        index.document_lengths()
-        .groupBy("field")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("dl").alias("tokens"),
-            F.round(F.avg("dl"), 6).alias("avgdl"),
-        )
+    return index.field_totals().select(
+        "field", "n", "tokens", F.round("avgdl", 6).alias("avgdl")
     )
 
 
-def _hit_projection(documents: DataFrame) -> DataFrame:
-    return documents.select(
-        "file_path",
-        F.array_join(F.slice(F.split("content", "\n"), 1, 5), "|").alias("highlights"),
+def _marked_hits(hits: DataFrame, *more: str) -> DataFrame:
+    return hits.select(
+        *more, "file_path", F.array_join("highlights", "|").alias("highlights")
     )
 
 
@@ -192,8 +192,11 @@ def queries() -> dict[str, Query]:
             lambda d: d.select("file_path", F.expr(normalize_text("content")).alias("content"))
         ),
         "scan_summary": _on_documents(lambda d: scan_counters(stored_rows(d))),
-        "index_counts": _index_counts,
-        "upsert_latest": _upsert_latest,
+        "index_counts": _on_index(_index_counts, "gaps"),
+        "upsert_latest": _on_index(
+            lambda i: i.documents().select("file_path", "content", "file_size", "batch_id"),
+            "updated",
+        ),
         "incremental_new_or_changed": _incremental,
         "postings": _on_index(
             lambda i: i.postings().select(
@@ -265,12 +268,35 @@ def queries() -> dict[str, Query]:
                 advanced_search(i, "réaution", sort_by="file_size", size=ALL), "content"
             )
         ),
+        "fuzzy_limited": _on_index(
+            lambda i: _scores(
+                search_documents(i, "thereou quene réaution", ALL, max_expansions=5)
+            )
+        ),
+        "metadata_filter": _on_index(
+            lambda i: _scores(
+                advanced_search(i, "the thereou", metadata={"source": "src7"}, size=ALL)
+            )
+        ),
+        "sort_path": _on_index(
+            lambda i: _scores(
+                advanced_search(i, "quene", sort_by="file_path", sort_order="desc", size=20)
+            )
+        ),
         "highlights": _on_index(
-            lambda i: search_documents(i, "thereou réaution", ALL).select(
-                "file_path", F.array_join("highlights", "|").alias("highlights")
+            lambda i: _marked_hits(search_documents(i, "thereou réaution", ALL))
+        ),
+        "all_highlights": _on_index(
+            lambda i: _marked_hits(
+                search_documents(i, "thereou réaution", ALL, max_highlights=None)
+            )
+        ),
+        "hit_projection": _on_index(
+            lambda i: _marked_hits(
+                search_documents(i, "thereou réaution", ALL),
+                "file_name", "file_type", "content", "file_size", "score",
             )
         ),
-        "hit_projection": _on_documents(_hit_projection),
         "hit_summary": _on_documents(_hit_summary),
         "search_summary": _on_index(
             lambda i: summarize_hits(search_documents(i, "thereou réaution", ALL)).select(
@@ -297,6 +323,10 @@ def queries() -> dict[str, Query]:
             lambda i: _scores(bool_search(i, ["the", "of"], ["reound"], ["and"], ALL))
         ),
         "phrase_search": _on_index(lambda i: _scores(phrase_search(i, "of the", size=ALL))),
+        "phrase_of_three": _on_index(
+            lambda i: _scores(phrase_search(i, "attion to thanedble", size=ALL))
+        ),
+        "phrase_repeated": _on_index(lambda i: _scores(phrase_search(i, "the the", size=ALL))),
         "fixed_fuzziness": _on_index(
             lambda i: _scores(search_documents(i, "thereou quene", ALL, fuzziness=1))
         ),
@@ -321,8 +351,12 @@ def queries() -> dict[str, Query]:
             "pt",
             "pt",
         ),
-        "search_many": lambda spark, sf_dir: search_many(
-            saved_index(spark, sf_dir), watch_list(spark), 25
+        "search_many": lambda spark, sf_dir: _marked_hits(
+            search_many(saved_index(spark, sf_dir), watch_list(spark), 25),
+            "query_id", "place", "score",
+        ),
+        "search_many_all": lambda spark, sf_dir: search_many(
+            saved_index(spark, sf_dir), watch_list(spark), ALL
         ).select("query_id", "place", "file_path", "score"),
         "term_trends": _on_index(lambda i: term_trends(i)),
     }

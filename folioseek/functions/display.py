@@ -24,8 +24,10 @@ def sentences(x: str) -> str:
     return f"filter(split({lines}, '{_BREAK}'), part -> length(part) > 0)"
 
 
-def highlights(x: str, terms: str, most: int = MAX_HIGHLIGHTS, analyzer: str = "standard") -> str:
-    """First `most` sentences holding one of `terms`, those words marked.
+def highlights(
+    x: str, terms: str, most: int | None = MAX_HIGHLIGHTS, analyzer: str = "standard"
+) -> str:
+    """First `most` sentences holding one of `terms` (all if None), those words marked.
 
     A sentence is cut into words and what stands between them, so marking and
     joining the pieces gives the sentence back.
@@ -33,10 +35,9 @@ def highlights(x: str, terms: str, most: int = MAX_HIGHLIGHTS, analyzer: str = "
     pieces = f'transform({sentences(x)}, s -> regexp_extract_all(s, r"{PIECE_PATTERN}", 0))'
     found = f"coalesce(array_contains({terms}, {term_of('lower(piece)', analyzer)}), false)"
     marked = f"if({found}, concat('{MARK_OPEN}', piece, '{MARK_CLOSE}'), piece)"
-    return (
-        f"transform(slice(filter({pieces}, part -> exists(part, piece -> {found})), 1, {most}), "
-        f"part -> array_join(transform(part, piece -> {marked}), ''))"
-    )
+    holding = f"filter({pieces}, part -> exists(part, piece -> {found}))"
+    shown = holding if most is None else f"slice({holding}, 1, {most})"
+    return f"transform({shown}, part -> array_join(transform(part, piece -> {marked}), ''))"
 
 
 def summary_lines(x: str) -> str:

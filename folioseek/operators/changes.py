@@ -36,8 +36,13 @@ def one_per_path(documents: DataFrame) -> DataFrame:
 
 def new_or_changed(documents: DataFrame, current: DataFrame) -> DataFrame:
     """Documents whose path is unknown or whose content differs."""
-    known = current.select("file_path", "content_hash")
-    return documents.join(known, ["file_path", "content_hash"], "left_anti")
+    known = current.select(
+        F.col("file_path").alias("known_path"), F.col("content_hash").alias("known_hash")
+    )
+    same = (F.col("file_path") == F.col("known_path")) & F.col("content_hash").eqNullSafe(
+        F.col("known_hash")
+    )
+    return documents.join(known, same, "left_anti")
 
 
 def new_or_modified_files(files: DataFrame, current: DataFrame) -> DataFrame:

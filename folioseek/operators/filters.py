@@ -6,10 +6,10 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioseek.operators.postings import name_key
+from folioseek.operators.postings import name_key, path_key
 
 # Sort names and the column each stands for; "score" is handled by the search.
-SORTS = ("score", "file_name", "file_size", "file_type", "modified_at", "created_at")
+SORTS = ("score", "file_name", "file_path", "file_size", "file_type", "modified_at", "created_at")
 
 
 @dataclass(frozen=True)
@@ -67,7 +67,8 @@ def ordering(sort_by: str, sort_order: str, keys: tuple[str, ...] = ()) -> list[
         raise ValueError(f"cannot sort by {sort_by!r}; known: {SORTS}")
     if sort_order not in ("asc", "desc"):
         raise ValueError("sort_order must be 'asc' or 'desc'")
-    column = name_key(F.col("file_name")) if sort_by == "file_name" else F.col(sort_by)
+    keys_of = {"file_name": name_key, "file_path": path_key}
+    column = keys_of.get(sort_by, lambda c: c)(F.col(sort_by))
     first = column.desc_nulls_last() if sort_order == "desc" else column.asc_nulls_last()
     return [*map(F.asc, keys), first, F.asc("file_path")]
 

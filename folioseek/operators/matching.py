@@ -15,7 +15,6 @@ from folioseek.functions.edits import (
 from folioseek.functions.ranking import by_field, rarity
 from folioseek.functions.text import placed_terms
 from folioseek.operators.postings import term_bucket
-from folioseek.schema import MAX_EXPANSIONS
 
 # Query words up to this number are compared as literals in one vocabulary scan.
 LITERAL_WORDS = 32
@@ -30,6 +29,18 @@ def query_words(spark: SparkSession, text: str, analyzer: str = "standard") -> l
     return given.select(F.expr(placed_terms("text", analyzer))).first()[0]
 
 
+def words_of_each(
+    spark: SparkSession, texts: list[str], analyzer: str = "standard"
+) -> list[list[str]]:
+    """Index terms of each of some texts, in one job."""
+    if not texts:
+        return []
+    rows = [(n, text) for n, text in enumerate(texts)]
+    given = spark.createDataFrame(rows, "n int, text string")
+    found = given.select("n", F.expr(placed_terms("text", analyzer)).alias("placed")).collect()
+    return [[item["term"] for item in row["placed"] or []] for row in sorted(found)]
+
+
 def near_literals(
     vocabulary: DataFrame, found: list[str], fuzziness: str | int = "AUTO"
 ) -> DataFrame:
@@ -103,13 +114,14 @@ def best_expansions(
     near: DataFrame,
     counts: Mapping[str, float],
     merged: bool = False,
-    most: int = MAX_EXPANSIONS,
+    most: int | None = None,
 ) -> DataFrame:
-    """Weight the near terms, keep the best per word and field, share one df.
+    """Weight the near terms, share one df per word and field.
 
     In: field, term, token, edits, df (signed per batch, or already `merged`).
     Out: field, token, term, weight, idf. `counts` gives the documents per
-    field. The row limit is applied in each task before the shuffle.
+    field. With `most`, only the best terms of each word and field are kept; that
+    limit is applied in each task before the shuffle.
     """
     current = near
     if not merged:
@@ -119,14 +131,13 @@ def best_expansions(
     weight = "1 - edits / least(char_length(token), char_length(term))"
     place = "row_number() OVER (PARTITION BY field, token ORDER BY weight DESC, term)"
     shared = "max(df) OVER (PARTITION BY field, token)"
-    return (
-        current.selectExpr("field", "token", "term", "df", f"{weight} AS weight")
-        .filter("df > 0 AND weight > 0")
-        .selectExpr("*", f"{place} AS place")
-        .filter(f"place <= {most}")
-        .selectExpr(
-            "field", "token", "term", "weight", f"{rarity(by_field(counts), shared)} AS idf"
-        )
+    weighted = current.selectExpr(
+        "field", "token", "term", "df", f"{weight} AS weight"
+    ).filter("df > 0 AND weight > 0")
+    if most is not None:
+        weighted = weighted.selectExpr("*", f"{place} AS place").filter(f"place <= {most}")
+    return weighted.selectExpr(
+        "field", "token", "term", "weight", f"{rarity(by_field(counts), shared)} AS idf"
     )
 
 

@@ -60,14 +60,17 @@ def index_new_files(
     folder: str,
     decoders: Mapping[str, Decoder] | None = None,
     normalize: bool = False,
+    retry_failed: bool = False,
 ) -> Batch:
     """Index only files that are new or whose size or time changed.
 
+    A file that was set aside counts as known until it changes, unless
+    `retry_failed`.
     Finding them reads no content. The span of their times and sizes is then
     pushed to the file source, so files outside it are not opened either.
     """
     files = scan_folder(index.spark, folder)
-    changed = new_or_modified_files(file_records(files), index.documents())
+    changed = new_or_modified_files(file_records(files), index.known_files(not retry_failed))
     # One row: the bounds of the changed files.
     span = changed.agg(
         F.min("modified_at").alias("first"),
@@ -87,10 +90,16 @@ def index_new_files(
     return _index_files(index, wanted, "append", decoders, normalize)
 
 
-def index_changed_documents(index: DocumentIndex, documents: DataFrame) -> Batch:
-    """Index only documents whose path is new or whose text changed."""
+def index_changed_documents(
+    index: DocumentIndex, documents: DataFrame, retry_failed: bool = False
+) -> Batch:
+    """Index only documents whose path is new or whose text changed.
+
+    One that was set aside counts as known until it changes, unless `retry_failed`.
+    """
     hashed = documents.withColumn("content_hash", F.sha2("content", 256))
-    return index_documents(index, new_or_changed(hashed, index.documents()))
+    known = index.known_files(not retry_failed)
+    return index_documents(index, new_or_changed(hashed, known))
 
 
 def _index_files(

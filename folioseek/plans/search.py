@@ -1,10 +1,10 @@
 """Ranked, filtered and ordered searches over a saved index.
 
 A search first finds its top hits from postings alone and then fetches just
-those documents. What reaches the driver on the way is bounded by the query:
-its words, at most 50 index terms per word and field, and the hits if no more
-than LOOKUP_ROWS are asked for. More hits, or all of them (`size=None`), are
-joined. A table of queries is handled by joins throughout.
+those documents. What reaches the driver on the way is the query's words, the
+index terms near them, and the hits of a search with a `size`, which runs when
+it is called. All hits (`size=None`) are joined, and the result is lazy. A
+table of queries is handled by joins throughout.
 """
 
 from collections import Counter
@@ -28,6 +28,7 @@ from folioseek.operators.matching import (
     near_words,
     query_words,
     with_bucket,
+    words_of_each,
 )
 from folioseek.operators.postings import FILE_COLUMNS
 from folioseek.operators.scoring import (
@@ -41,14 +42,9 @@ from folioseek.operators.trends import frequent_terms
 from folioseek.plans.store import DocumentIndex, local_table
 from folioseek.schema import DEFAULT_SIZE, DOCUMENTS_TABLE, HIT_COLUMNS, TEXT_FIELDS
 
-# Most hits that are looked up by literal paths rather than joined.
-LOOKUP_ROWS = 1000
-
-# Most rows, counted first, that a join broadcasts.
-BROADCAST_ROWS = 200_000
-
-# Equality tests per pushed filter: the reader keeps short lists exact.
-PUSHED_VALUES = 10
+# Equality tests per pushed filter: the reader keeps short lists exact. Longer
+# lists than the second number are pushed as the range of their values.
+PUSHED_VALUES, PUSHED_LISTS = 10, 1000
 
 _TERMS = T.StructType(
     [
@@ -78,15 +74,17 @@ def search_documents(
     fuzziness: str | int = "AUTO",
     page: int | None = None,
     page_size: int | None = None,
-    max_highlights: int = MAX_HIGHLIGHTS,
+    max_highlights: int | None = MAX_HIGHLIGHTS,
+    max_expansions: int | None = None,
 ) -> DataFrame:
     """Documents whose content or name matches any word, best first.
 
     Every hit has a list of highlights, empty if only the name matched. A query
-    without words, or a missing index, gives no rows.
+    without words, or a missing index, gives no rows. `max_expansions` keeps only
+    the nearest index terms of each word and field.
     """
     offset, count = window_of(size, page, page_size)
-    terms = query_terms(index, query_text, fuzziness)
+    terms = query_terms(index, query_text, fuzziness, max_expansions)
     scored = _scored(index, terms, Filters())
     order = ordering("score", "desc")
     return _hits(index, scored, order, offset, count, terms, max_highlights)
@@ -110,7 +108,8 @@ def advanced_search(
     fuzziness: str | int = "AUTO",
     page: int | None = None,
     page_size: int | None = None,
-    max_highlights: int = MAX_HIGHLIGHTS,
+    max_highlights: int | None = MAX_HIGHLIGHTS,
+    max_expansions: int | None = None,
 ) -> DataFrame:
     """Documents by optional text and filters, in a chosen order.
 
@@ -132,7 +131,7 @@ def advanced_search(
     by_score = sort_by == "score"
     terms: list[Row] | None = None
     if query_text:
-        terms = query_terms(index, query_text, fuzziness)
+        terms = query_terms(index, query_text, fuzziness, max_expansions)
         if by_score:
             found = _scored(index, terms, filters)
         else:
@@ -161,7 +160,7 @@ def bool_search(
     size: int | None = DEFAULT_SIZE,
     *,
     field: str = "content",
-    max_highlights: int = MAX_HIGHLIGHTS,
+    max_highlights: int | None = MAX_HIGHLIGHTS,
 ) -> DataFrame:
     """Documents by required, optional and excluded words, matched exactly.
 
@@ -169,10 +168,9 @@ def bool_search(
     one of them is needed. The score sums BM25 over the words present.
     """
     spark = index.spark
-    groups = [
-        sorted({w["term"] for text in texts for w in query_words(spark, text, index.analyzer)})
-        for texts in (must, should, must_not)
-    ]
+    clauses_of = [list(must), list(should), list(must_not)]
+    each = iter(words_of_each(spark, sum(clauses_of, []), index.analyzer))
+    groups = [sorted({w for _ in texts for w in next(each)}) for texts in clauses_of]
     wanted = set(groups[0] + groups[1])
     clauses = _exact_terms(index, sorted(wanted | set(groups[2])), field)
     terms = [row for row in clauses if row["term"] in wanted]
@@ -190,7 +188,7 @@ def phrase_search(
     field: str = "content",
     size: int | None = DEFAULT_SIZE,
     *,
-    max_highlights: int = MAX_HIGHLIGHTS,
+    max_highlights: int | None = MAX_HIGHLIGHTS,
 ) -> DataFrame:
     """Documents with the words of a phrase side by side, in order.
 
@@ -220,12 +218,14 @@ def search_many(
     size: int | None = DEFAULT_SIZE,
     *,
     fuzziness: str | int = "AUTO",
+    max_highlights: int | None = MAX_HIGHLIGHTS,
+    max_expansions: int | None = None,
 ) -> DataFrame:
     """`search_documents` for a table of (query_id, query_text), all at once.
 
     Words meet the vocabulary, and terms the postings, in equi-joins, and each
-    query's top is cut in every task before the shuffle. The queries' terms and
-    the hits are broadcast if few enough, else shuffled.
+    query's top is cut in every task before the shuffle. How a join is done is
+    left to adaptive execution, and no hits or terms reach the driver.
     """
     check_fuzziness(fuzziness)
     words = queries.select(
@@ -233,23 +233,12 @@ def search_many(
         F.expr(f"explode({placed_terms('query_text', index.analyzer)})").alias("placed"),
     ).groupBy("query_id", F.col("placed.term").alias("token"))
     asked = words.agg(F.count(F.lit(1)).alias("repeats"))
-    tokens = asked.select("token").distinct()
-    few = tokens.limit(LITERAL_WORDS + 1).collect()
-    if len(few) <= LITERAL_WORDS:
-        near = near_literals(_vocabulary(index), [row["token"] for row in few], fuzziness)
-    else:
-        near = near_words(_vocabulary(index), tokens, fuzziness)
+    near = near_words(_vocabulary(index), asked.select("token").distinct(), fuzziness)
     merged = len(index.batches) == 1
-    expansions = best_expansions(near, index.per_field("n"), merged)
+    expansions = best_expansions(near, index.per_field("n"), merged, max_expansions)
     terms = boosts(asked.join(expansions, "token"), ("query_id",))
     terms = with_bucket(terms, index.term_buckets or 1)
-    few = _if_few(terms)
-    if few is None:
-        postings = index.posting_versions()
-    else:
-        terms = F.broadcast(local_table(index.spark, few, terms.schema))
-        postings = index.posting_versions({row["term_bucket"] for row in few})
-    matched = postings.join(terms, ["term_bucket", "field", "term"])
+    matched = index.posting_versions().join(terms, ["term_bucket", "field", "term"])
     scored = score_documents(matched, index.per_field("avgdl"), ("query_id",))
     scored = without_superseded(scored, index.superseded())
     best = Window.partitionBy("query_id").orderBy(*ordering("score", "desc"))
@@ -257,12 +246,25 @@ def search_many(
     if size is not None:
         kept = kept.filter(F.col("place") <= size)
     documents = index.document_versions().select("batch_id", *HIT_COLUMNS)
-    found = _if_few(kept)
-    if found is not None:
-        documents = _at_paths(documents, found)
-        kept = F.broadcast(local_table(index.spark, found, kept.schema))
-    return documents.join(kept, list(VERSION)).select(
-        "query_id", "place", *HIT_COLUMNS, "score"
+    # The terms of one query: as many as its words have near ones.
+    shown = (
+        terms.filter(F.col("field") == "content")
+        .groupBy("query_id")
+        .agg(F.collect_set("term").alias("_terms"))
+    )
+    marked = F.expr(highlights("content", "_terms", max_highlights, index.analyzer))
+    return (
+        documents.join(kept, list(VERSION))
+        .join(shown, "query_id", "left")
+        .select(
+            "query_id",
+            "place",
+            *HIT_COLUMNS,
+            "score",
+            F.when(F.col("_terms").isNotNull(), marked)
+            .otherwise(F.array().cast("array<string>"))
+            .alias("highlights"),
+        )
     )
 
 
@@ -281,9 +283,12 @@ def summarize_hits(hits: DataFrame) -> DataFrame:
 
 
 def query_terms(
-    index: DocumentIndex, query_text: str, fuzziness: str | int = "AUTO"
+    index: DocumentIndex,
+    query_text: str,
+    fuzziness: str | int = "AUTO",
+    max_expansions: int | None = None,
 ) -> list[Row]:
-    """Weighted index terms of a query: at most 50 per word and field."""
+    """Weighted index terms of a query: all that its words may mean."""
     check_fuzziness(fuzziness)
     spark = index.spark
     if not index.exists:
@@ -298,7 +303,7 @@ def query_terms(
         tokens = spark.range(1).select(F.expr(each).alias("token"))
         near = near_words(_vocabulary(index), tokens, fuzziness)
     merged = len(index.batches) == 1
-    weighted = best_expansions(near, index.per_field("n"), merged)
+    weighted = best_expansions(near, index.per_field("n"), merged, max_expansions)
     return _summed(with_bucket(weighted, index.term_buckets).collect(), Counter(words))
 
 
@@ -343,8 +348,7 @@ def _exact_terms(index: DocumentIndex, words: list[str], field: str) -> list[Row
 def _postings_of(index: DocumentIndex, terms: list[Row], filters: Filters) -> DataFrame:
     """Postings of known terms with their boost; file filters reach the reader.
 
-    The terms are a relation of known size, at most 50 rows per query word and
-    field, so the join needs no shuffle.
+    The terms are a relation whose size Spark knows and joins by.
     """
     spark = index.spark
     asked = local_table(spark, terms, _TERMS)
@@ -356,9 +360,7 @@ def _postings_of(index: DocumentIndex, terms: list[Row], filters: Filters) -> Da
     postings = index.posting_versions(buckets).filter(
         _one_of("term", sorted({row["term"] for row in terms}))
     )
-    return keep_if(postings, filters.on_file()).join(
-        F.broadcast(asked), ["field", "term"]
-    )
+    return keep_if(postings, filters.on_file()).join(asked, ["field", "term"])
 
 
 def _scored(index: DocumentIndex, terms: list[Row], filters: Filters) -> DataFrame:
@@ -383,47 +385,35 @@ def _hits(
     offset: int,
     count: int | None,
     terms: list[Row] | None,
-    max_highlights: int,
+    max_highlights: int | None,
 ) -> DataFrame:
     """Cut the result and fetch its documents, in order."""
     if not index.exists or count == 0:
         return _no_hits(index)
     documents = index.document_versions().select("batch_id", *HIT_COLUMNS)
-    if count is not None and count <= LOOKUP_ROWS:
+    if count is not None:
         best = top(found, order, offset, count).select(*VERSION, "score").collect()
         if not best:
             return _no_hits(index)
         places = [row.asDict() | {"_place": n} for n, row in enumerate(best)]
-        cut = F.broadcast(local_table(index.spark, places, _PLACES))
-        hits = _at_paths(documents, best).join(cut, list(VERSION))
-        hits = hits.orderBy("_place").limit(len(best))
+        cut = local_table(index.spark, places, _PLACES)
+        hits = _at_paths(documents, best).join(cut, list(VERSION)).orderBy("_place")
     else:
-        cut = top(found, order, offset, count).select(*VERSION, "score")
-        if count is not None and count <= BROADCAST_ROWS:
-            cut = F.broadcast(cut)
+        cut = found.select(*VERSION, "score")
         hits = documents.join(cut, list(VERSION)).orderBy(*order)
     return hits.select(
         *HIT_COLUMNS, "score", _marked(index, terms, max_highlights).alias("highlights")
     )
 
 
-def _if_few(rows: DataFrame) -> list[Row] | None:
-    """Rows on the driver if at most BROADCAST_ROWS, else None."""
-    found = rows.limit(BROADCAST_ROWS + 1).collect()
-    return found if len(found) <= BROADCAST_ROWS else None
-
-
 def _at_paths(documents: DataFrame, hits: list[Row]) -> DataFrame:
     """Narrow the documents to those of the hits before their text is read."""
     paths = sorted({row["file_path"] for row in hits})
     batches = sorted({row["batch_id"] for row in hits})
-    documents = documents.filter(F.col("batch_id").isin(batches))
-    if len(paths) <= LOOKUP_ROWS:
-        documents = documents.filter(_one_of("file_path", paths))
-    return documents
+    return documents.filter(F.col("batch_id").isin(batches)).filter(_one_of("file_path", paths))
 
 
-def _marked(index: DocumentIndex, terms: list[Row] | None, most: int) -> Column:
+def _marked(index: DocumentIndex, terms: list[Row] | None, most: int | None) -> Column:
     found = sorted({row["term"] for row in terms or [] if row["field"] == "content"})
     if not found:
         return F.array().cast("array<string>")
@@ -447,6 +437,9 @@ def _one_of(name: str, values: list[str]) -> Column:
     """
     if not values:
         return F.lit(False)
+    if len(values) > PUSHED_LISTS:
+        bounds = f"{name} BETWEEN {listed([min(values)])} AND {listed([max(values)])}"
+        return F.expr(f"{name} IN ({listed(values)}) AND {bounds}")
     lists = [values[at : at + PUSHED_VALUES] for at in range(0, len(values), PUSHED_VALUES)]
     short = " OR ".join(f"{name} IN ({listed(part)})" for part in lists)
     return F.expr(f"{name} IN ({listed(values)}) AND ({short})" if len(lists) > 1 else short)

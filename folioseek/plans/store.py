@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from folioseek.functions.text import check_analyzer
-from folioseek.operators.changes import one_per_path, replaced_versions
+from folioseek.operators.changes import latest_versions, one_per_path, replaced_versions
 from folioseek.operators.postings import (
     build_postings,
     count_terms,
@@ -131,11 +131,31 @@ class DocumentIndex:
         """Current documents: one row per path, the latest batch wins."""
         return without_superseded(self.document_versions(), self.superseded())
 
+    def _set_aside(self) -> DataFrame:
+        """Rows whose latest record is a failure: one per path, and all without a path."""
+        rows = self.document_versions(QUARANTINED)
+        latest = latest_versions(rows.filter(F.col("file_path").isNotNull()))
+        good = self.document_versions().select(
+            F.col("file_path").alias("good_path"), F.col("batch_id").alias("good_batch")
+        )
+        later = (F.col("file_path") == F.col("good_path")) & (
+            F.col("batch_id") < F.col("good_batch")
+        )
+        return latest.join(good, later, "left_anti").unionByName(
+            rows.filter(F.col("file_path").isNull())
+        )
+
     def quarantine(self) -> DataFrame:
-        return self.document_versions(QUARANTINED).select(
+        return self._set_aside().select(
             "file_path", "file_type", "file_size", "reason", "batch_id"
         )
 
+    def known_files(self, failed: bool = True) -> DataFrame:
+        """The latest record of each path, indexed or (if `failed`) set aside."""
+        columns = ("file_path", "file_size", "modified_at", "content_hash")
+        known = self.documents().select(*columns)
+        return known.unionByName(self._set_aside().select(*columns)) if failed else known
+
     def posting_versions(self, buckets: Iterable[int] | None = None) -> DataFrame:
         """Postings, of given term buckets only if the terms are known.
 
@@ -171,19 +191,20 @@ class DocumentIndex:
             "field", "term", "df", F.char_length("term").alias("term_len"), "cf"
         )
 
-    @cached_property
-    def field_stats(self) -> dict[str, Row]:
-        """Documents and mean length per field; a row per field and batch is read."""
+    def field_totals(self) -> DataFrame:
+        """Documents, tokens and mean length per field, from a row per field and batch."""
         parts = f"batch_id={_any_of(self.batches)}"
-        rows = (
+        return (
             self._read("field_stats", FIELD_STATS_SCHEMA, parts=parts)
             .groupBy("field")
             .agg(F.sum("docs").alias("n"), F.sum("tokens").alias("tokens"))
             .filter("n > 0")
-            .select("field", "n", (F.col("tokens") / F.col("n")).alias("avgdl"))
-            .collect()
+            .withColumn("avgdl", F.col("tokens") / F.col("n"))
         )
-        return {row["field"]: row for row in rows}
+
+    @cached_property
+    def field_stats(self) -> dict[str, Row]:
+        return {row["field"]: row for row in self.field_totals().collect()}
 
     def per_field(self, name: str) -> dict[str, float]:
         """`n` or `avgdl` of every text field; 1 where a field has no terms."""
@@ -296,12 +317,13 @@ class DocumentIndex:
                 # One row per batch at most: the batches that lose documents.
                 hit = gone.select("old_batch_id").distinct().collect()
                 touched = F.col("batch_id").isin([row["old_batch_id"] for row in hit])
-                old = self.posting_versions().filter(touched).join(
+                old = self.document_versions().filter(touched).join(
                     gone.select("file_path", F.col("old_batch_id").alias("batch_id")),
                     ["file_path", "batch_id"],
                     "left_semi",
                 )
-                counted = merge_term_counts(counted.unionByName(count_terms(old, -1)))
+                taken = count_terms(build_postings(old, self.analyzer), -1)
+                counted = merge_term_counts(counted.unionByName(taken))
         save(
             counted.withColumn("term_len", F.char_length("term")).sortWithinPartitions(
                 "field", "term_len", "term"

@@ -9,7 +9,6 @@ FILE_TYPES = ("docx", "xlsx", "xls", "pdf", "csv", "doc")
 TEXT_FIELDS = ("content", "file_name")
 BM25_K1 = 1.2
 BM25_B = 0.75
-MAX_EXPANSIONS = 50
 SCORE_DIGITS = 6
 DEFAULT_SIZE = 10
 

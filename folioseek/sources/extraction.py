@@ -58,5 +58,5 @@ def _decode(decoder: Decoder | None, data: bytes) -> tuple:
     try:
         text, metadata = decoder(data)
     except Exception as problem:  # one bad file must not stop the batch
-        return None, None, f"failed: {type(problem).__name__}: {problem}"[:500]
+        return None, None, f"failed: {type(problem).__name__}: {problem}"
     return (text, metadata, None) if text else (None, metadata, EMPTY)

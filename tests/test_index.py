@@ -223,3 +223,37 @@ def test_arrivals_are_indexed_once(spark, tmp_path, inbox):
         os.rename(checkpoint / "commits" / name, tmp_path / f"kept-{name}")
     index_arrivals(index, str(inbox), str(checkpoint)).awaitTermination()
     assert opened(spark, path).batches == after.batches
+
+
+def test_failed_files_settle(spark, tmp_path):
+    """A second run over an unchanged folder writes no batch, broken files or not."""
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "good.csv").write_text("a\n1\n")
+    (inbox / "bad.docx").write_bytes(b"no archive")
+    DocumentIndex.create(spark, str(tmp_path / "index"))
+
+    def run(**options):
+        return index_new_files(opened(spark, tmp_path / "index"), str(inbox), **options)
+
+    first = run()
+    assert (first.indexed, first.quarantined) == (1, 1)
+    assert run().batch_id is None
+    assert run(retry_failed=True).quarantined == 1
+    # Only the latest failure of a path is shown, and none once it is indexed.
+    assert opened(spark, tmp_path / "index").quarantine().count() == 1
+    (inbox / "bad.docx").unlink()
+    (inbox / "bad.csv").write_text("b\n2\n")
+    assert run().indexed == 1 and run().batch_id is None
+
+
+def test_failed_documents_settle(spark, tmp_path):
+    DocumentIndex.create(spark, str(tmp_path))
+    rows = as_documents(spark, [("/s/a.csv", "csv", "text"), ("/s/b.csv", "csv", "")])
+    assert index_changed_documents(opened(spark, tmp_path), rows).quarantined == 1
+    assert index_changed_documents(opened(spark, tmp_path), rows).batch_id is None
+    again = index_changed_documents(opened(spark, tmp_path), rows, retry_failed=True)
+    assert again.quarantined == 1
+    later = as_documents(spark, [("/s/b.csv", "csv", "found")])
+    assert index_changed_documents(opened(spark, tmp_path), later).indexed == 1
+    assert opened(spark, tmp_path).quarantine().count() == 0

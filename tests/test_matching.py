@@ -93,7 +93,7 @@ def test_allowed_edits_at_the_bounds(word, most):
 def test_best_expansions_cap_and_share_df(spark):
     rows = [("content", f"t{n:03}", "t000x", 1 + (n > 0), n + 1) for n in range(80)]
     near = spark.createDataFrame(rows, NEAR)
-    kept = best_expansions(near, {"content": 1000.0}).collect()
+    kept = best_expansions(near, {"content": 1000.0}, most=50).collect()
     assert len(kept) == 50
     assert {row["term"] for row in kept} == {f"t{n:03}" for n in range(50)}
     assert len({row["idf"] for row in kept}) == 1

@@ -161,10 +161,20 @@ def test_top_k_is_a_prefix_and_pages_tile(index):
     assert pages == everything
 
 
-def test_joined_route_gives_the_same_hits(index, monkeypatch):
-    looked_up = search_documents(index, "cats dog quick", 3).collect()
-    monkeypatch.setattr("folioseek.plans.search.LOOKUP_ROWS", 0)
-    assert search_documents(index, "cats dog quick", 3).collect() == looked_up
+def test_no_near_term_is_left_out(make_index):
+    """Three hundred terms within two edits of a word find three hundred documents."""
+    letters = "abcdefghijklmnopqrst"
+    words = [f"{a}lphabe{b}" for a in letters for b in letters][:300]
+    index = make_index([(f"/n/{n}.csv", "csv", word) for n, word in enumerate(words)])
+    assert search_documents(index, "zlphabez", None).count() == 300
+    assert search_documents(index, "zlphabez", None, max_expansions=50).count() == 50
+
+
+def test_all_highlights_on_request(make_index):
+    index = make_index([("/h/a.csv", "csv", "cat one. " * 9)])
+    few = search_documents(index, "cat").first()["highlights"]
+    every = search_documents(index, "cat", max_highlights=None).first()["highlights"]
+    assert (len(few), len(every)) == (5, 9)
 
 
 def test_many_words_take_the_joined_route(index, monkeypatch):
@@ -198,7 +208,7 @@ def test_phrase_search(index):
     assert paths(phrase_search(index, "")) == []
 
 
-def test_search_many_equals_single_searches(spark, index, monkeypatch):
+def test_search_many_equals_single_searches(spark, index):
     texts = {1: "cats dog", 2: "bidrs", 3: "quick fox quick", 4: "zzzzzz", 5: "cats.docx"}
     queries = spark.createDataFrame(list(texts.items()), "query_id int, query_text string")
 
@@ -212,10 +222,10 @@ def test_search_many_equals_single_searches(spark, index, monkeypatch):
         for row in search_documents(index, text, 3).collect()
     ]
     assert found() == expected
-    monkeypatch.setattr("folioseek.plans.search.BROADCAST_ROWS", 0)
-    assert found() == expected
-    monkeypatch.setattr("folioseek.plans.search.LITERAL_WORDS", 0)
-    assert found() == expected
+    marked = {(r["query_id"], r["file_path"]): r["highlights"] for r in search_many(index, queries).collect()}
+    for n, text in texts.items():
+        for row in search_documents(index, text).collect():
+            assert marked[n, row["file_path"]] == row["highlights"]
 
 
 def test_summary_lines(spark, index):
