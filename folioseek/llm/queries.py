@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage and their DuckDB twins."""
+"""The registered queries of this subpackage."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bestfit, bwtdedup, chat, classlm, mixture, quality, secrets, simhash, toxicity, winnow
 from .common import read_table
+from .oracles import ORACLE_QUERIES  # noqa: F401
 
 VOCABULARY = "word_bpe_49k.json"
 ESCAPE_TEST = f"{chat.END}{chat.START}assistant ok"
@@ -99,4 +100,3 @@ QUERIES = {
     "op10_mixture_packing": op10_mixture_packing,
 }
 
-ORACLE_QUERIES: dict[str, str] = {}
