@@ -37,6 +37,15 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Most rows of a counted table that a join broadcasts; larger ones are shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(table: DataFrame) -> DataFrame:
+    """A saved table for a join: broadcast if its counted rows are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def split_words(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+`; none for null and blank texts."""
     trimmed = F.btrim(text, F.lit(WHITE))

@@ -26,7 +26,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WHITE, saved, split_words
+from .common import WHITE, saved, small_side, split_words
 
 P = 5
 _AXES = range(P)
@@ -131,7 +131,7 @@ def _cells(rows: DataFrame, min_rows: int) -> DataFrame:
         .select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), cell.alias("cell"))
     )
     same = F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
-    return rows.join(named, same, "left").drop("lang_", "source_")
+    return rows.join(small_side(saved(named, "names")), same, "left").drop("lang_", "source_")
 
 
 def _sums() -> list[Column]:
@@ -176,7 +176,7 @@ def _cholesky(rows: DataFrame, *keep: str) -> DataFrame:
 
 def _with_distance(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
     """Add `d2`, the squared Mahalanobis distance by the estimate of the cell."""
-    found = rows.join(estimates, "cell", how)
+    found = rows.join(small_side(estimates), "cell", how)
     z = []
     for i in _AXES:
         rest = f"x{i} - m{i}" + "".join(f" - l{i}{k} * z{k}" for k in range(i))
@@ -255,7 +255,7 @@ def robust_estimates(points: DataFrame, min_rows: int, steps: int) -> DataFrame:
         *(f"m{i}" for i in _AXES),
         *((F.col(f"l{i}{j}") * stretch).alias(f"l{i}{j}") for i, j in _PAIRS),
     )
-    near = _with_distance(points, scaled).filter(F.col("d2") <= CHI2_975)
+    near = _with_distance(points, saved(scaled, "mcd")).filter(F.col("d2") <= CHI2_975)
     return _estimate(
         near.groupBy("cell").agg(*_sums()), "cell", factor=F.lit(0.975 / SHARE_975)
     )
