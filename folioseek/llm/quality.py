@@ -5,8 +5,9 @@ minimum covariance determinant is found by concentration steps: distances by
 the current estimate, mean and covariance of the nearest half, and again. Two
 starts are refined (median with quartile range, mean with covariance); the one
 with the smaller determinant is kept, scaled to be consistent, and reweighted
-once. A document whose squared Mahalanobis distance exceeds `cutoff` (100: ten
-robust standard deviations) is an outlier.
+once. A document whose squared Mahalanobis distance exceeds `cutoff` (40.9: one in
+ten million by the chi-squared distribution with 5 degrees of freedom) is an
+outlier.
 
 Statistics are whole thousandths, so that sums do not depend on the order of
 rows and results are the same on every run. A concentration step is one
@@ -264,7 +265,7 @@ def robust_estimates(points: DataFrame, min_rows: int, steps: int) -> DataFrame:
 def quality_verdicts(
     docs: DataFrame,
     id_col: str = "doc_id",
-    cutoff: float = 100.0,
+    cutoff: float = 40.9,
     min_rows: int = 60,
     steps: int = 6,
 ) -> DataFrame:
