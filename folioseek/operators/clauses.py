@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from folioseek.functions.ranking import real, rounded, saturation
-from folioseek.operators.scoring import VERSION
+from folioseek.operators.scoring import PLACED
 
 
 def match_clauses(
@@ -21,7 +21,7 @@ def match_clauses(
     """
     term = F.col("term")
     earned = F.expr(f"boost * {saturation('tf', 'dl', real(average))}")
-    grouped = matched.groupBy(*VERSION).agg(
+    grouped = matched.groupBy(*PLACED).agg(
         F.count_if(term.isin(must)).alias("_must"),
         F.count_if(term.isin(should)).alias("_should"),
         F.count_if(term.isin(must_not)).alias("_not"),
@@ -29,7 +29,7 @@ def match_clauses(
     )
     wanted = F.col("_must") == len(set(must)) if must else F.col("_should") > 0
     return grouped.filter(wanted & (F.col("_not") == 0)).select(
-        *VERSION, F.expr(rounded("_sum")).alias("score")
+        *PLACED, F.expr(rounded("_sum")).alias("score")
     )
 
 
@@ -42,7 +42,7 @@ def match_phrase(
     lists up in columns; shifting and intersecting them happens in the row.
     """
     slots = sorted(set(terms))
-    grouped = matched.groupBy(*VERSION).agg(
+    grouped = matched.groupBy(*PLACED).agg(
         *[
             F.any_value(
                 F.when(F.col("term") == term, F.col("positions")), ignoreNulls=True
@@ -59,5 +59,5 @@ def match_phrase(
     return (
         grouped.withColumn("tf", F.size(starts))
         .filter(F.col("tf") > 0)
-        .select(*VERSION, F.expr(rounded(earned)).alias("score"))
+        .select(*PLACED, F.expr(rounded(earned)).alias("score"))
     )

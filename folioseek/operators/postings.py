@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folioseek.functions.text import placed_terms
 from folioseek.schema import NAME_KEY_LENGTH, PATH_KEY_LENGTH, TEXT_FIELDS
 
-FILE_COLUMNS = ("file_type", "file_size", "created_at", "modified_at")
+FILE_COLUMNS = ("file_name", "file_type", "file_size", "created_at", "modified_at")
 
 
 def term_bucket(term: Column, buckets: int) -> Column:

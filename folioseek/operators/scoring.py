@@ -9,6 +9,9 @@ from folioseek.schema import TEXT_FIELDS
 
 VERSION = ("file_path", "batch_id")
 
+# A version and the number of the documents file of its batch that holds it.
+PLACED = (*VERSION, "file_part")
+
 
 def score_documents(
     matched: DataFrame,
@@ -28,8 +31,8 @@ def score_documents(
         for name in fields
     ]
     best = rounded(f"greatest({', '.join(f'_{name}' for name in fields)}, 0D)")
-    grouped = matched.groupBy(*keys, *VERSION).agg(*sums)
-    return grouped.selectExpr(*keys, *VERSION, f"{best} AS score")
+    grouped = matched.groupBy(*keys, *PLACED).agg(*sums)
+    return grouped.selectExpr(*keys, *PLACED, f"{best} AS score")
 
 
 def score_postings(matched: DataFrame, averages: Mapping[str, float]) -> DataFrame:
@@ -38,12 +41,12 @@ def score_postings(matched: DataFrame, averages: Mapping[str, float]) -> DataFra
     Nothing has to be grouped, so the search runs without a shuffle.
     """
     earned = f"boost * {saturation('tf', 'dl', by_field(averages))}"
-    return matched.selectExpr(*VERSION, f"{rounded(earned)} AS score")
+    return matched.selectExpr(*PLACED, f"{rounded(earned)} AS score")
 
 
 def matched_documents(matched: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Matched documents without a score, each once."""
-    return matched.select(*VERSION, *carry).distinct()
+    return matched.select(*PLACED, *carry).distinct()
 
 
 def without_superseded(rows: DataFrame, superseded: DataFrame | None) -> DataFrame:

@@ -32,6 +32,7 @@ from folioseek.operators.matching import (
 )
 from folioseek.operators.postings import FILE_COLUMNS
 from folioseek.operators.scoring import (
+    PLACED,
     VERSION,
     matched_documents,
     score_documents,
@@ -138,13 +139,10 @@ def advanced_search(
             carry = (sort_by,) if sort_by in FILE_COLUMNS else ()
             matched = _postings_of(index, terms, filters)
             found = _current(index, matched_documents(matched, carry), filters)
-        if sort_by == "file_name":
-            names = index.document_versions().select(*VERSION, "file_name")
-            found = found.join(names, list(VERSION))
     else:
         found = keep_if(index.documents(), filters.on_file() + filters.on_metadata())
         found = found.select(
-            *VERSION, "file_name", "file_type", "file_size", "created_at", "modified_at"
+            *PLACED, "file_name", "file_type", "file_size", "created_at", "modified_at"
         ).withColumn("score", F.lit(0.0 if filters else 1.0))
     if not by_score:
         found = found.withColumn("score", F.lit(None).cast("double"))
@@ -390,15 +388,15 @@ def _hits(
     """Cut the result and fetch its documents, in order."""
     if not index.exists or count == 0:
         return _no_hits(index)
-    documents = index.document_versions().select("batch_id", *HIT_COLUMNS)
     if count is not None:
-        best = top(found, order, offset, count).select(*VERSION, "score").collect()
+        best = top(found, order, offset, count).select(*PLACED, "score").collect()
         if not best:
             return _no_hits(index)
         places = [row.asDict() | {"_place": n} for n, row in enumerate(best)]
         cut = local_table(index.spark, places, _PLACES)
-        hits = _at_paths(documents, best).join(cut, list(VERSION)).orderBy("_place")
+        hits = _at_places(index, best).join(cut, list(VERSION)).orderBy("_place")
     else:
+        documents = index.document_versions().select("batch_id", *HIT_COLUMNS)
         cut = found.select(*VERSION, "score")
         hits = documents.join(cut, list(VERSION)).orderBy(*order)
     return hits.select(
@@ -406,11 +404,11 @@ def _hits(
     )
 
 
-def _at_paths(documents: DataFrame, hits: list[Row]) -> DataFrame:
-    """Narrow the documents to those of the hits before their text is read."""
-    paths = sorted({row["file_path"] for row in hits})
-    batches = sorted({row["batch_id"] for row in hits})
-    return documents.filter(F.col("batch_id").isin(batches)).filter(_one_of("file_path", paths))
+def _at_places(index: DocumentIndex, hits: list[Row]) -> DataFrame:
+    """Documents of the hits: only their files are opened, and only their pages read."""
+    places = {(row["batch_id"], row["file_part"]) for row in hits}
+    documents = index.document_versions(places=places).select("batch_id", *HIT_COLUMNS)
+    return documents.filter(_one_of("file_path", sorted({row["file_path"] for row in hits})))
 
 
 def _marked(index: DocumentIndex, terms: list[Row] | None, most: int | None) -> Column:

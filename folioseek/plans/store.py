@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from folioseek.functions.text import check_analyzer
 from folioseek.operators.changes import latest_versions, one_per_path, replaced_versions
 from folioseek.operators.postings import (
+    FILE_COLUMNS,
     build_postings,
     count_terms,
     document_lengths,
@@ -123,9 +124,20 @@ class DocumentIndex:
 
     # Tables
 
-    def document_versions(self, outcome: str = INDEXED) -> DataFrame:
-        parts = f"batch_id={_any_of(self.batches)}/outcome={outcome}"
-        return self._read("documents", DOCUMENTS_TABLE, parts=parts).drop("outcome")
+    def document_versions(
+        self, outcome: str = INDEXED, places: Iterable[tuple[int, int]] | None = None
+    ) -> DataFrame:
+        """Documents of all live batches, with the number of the file each lies in.
+
+        With `places` (batch, file number) only those files are listed and opened.
+        """
+        batches, files = self.batches, ""
+        if places is not None:
+            batches = [batch for batch, _ in places]
+            numbers = sorted({f"{number:05d}" for _, number in places})
+            files = "/part-{" + ",".join(numbers) + "}-*"
+        parts = f"batch_id={_any_of(batches)}/outcome={outcome}{files}"
+        return _with_part(self._read("documents", DOCUMENTS_TABLE, parts=parts)).drop("outcome")
 
     def documents(self) -> DataFrame:
         """Current documents: one row per path, the latest batch wins."""
@@ -282,7 +294,7 @@ class DocumentIndex:
         quarantined = counts[QUARANTINED]["rows"] if QUARANTINED in counts else 0
         if not indexed and not quarantined:
             return self._nothing()
-        good = written.filter(F.col("outcome") == INDEXED)
+        good = _with_part(written).filter(F.col("outcome") == INDEXED)
         text_bytes = (counts[INDEXED]["bytes"] if indexed else 0) or 0
         slots = self.spark.sparkContext.defaultParallelism
         spread = good.repartition(slots) if text_bytes <= slots * SMALL_TASK_BYTES else good
@@ -296,7 +308,9 @@ class DocumentIndex:
         # frequent term fills. A batch too small to keep the cluster busy is spread
         # out first.
         save(
-            build_postings(spread, self.analyzer)
+            build_postings(
+                spread, self.analyzer, keep=("file_path", *FILE_COLUMNS, "file_part")
+            )
             .withColumn("term_bucket", term_bucket(F.col("term"), buckets))
             .withColumn("slice", F.pmod(F.xxhash64("file_path"), F.lit(BUCKET_SLICES)))
             .hint("rebalance", "term_bucket", "slice")
@@ -385,6 +399,14 @@ def local_table(
     )
 
 
+def _with_part(documents: DataFrame) -> DataFrame:
+    """Add the number in the name of the file that each row was read from."""
+    if not documents.inputFiles():
+        return documents.withColumn("file_part", F.lit(None).cast("int"))
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
+    return documents.withColumn("file_part", number.cast("int"))
+
+
 def _any_of(values: Iterable[int]) -> str:
     """Folder glob for some numbers; -1 matches none."""
     return "{" + ",".join(str(value) for value in sorted(set(values)) or [-1]) + "}"

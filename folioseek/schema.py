@@ -49,7 +49,8 @@ DOCUMENTS_TABLE = T.StructType(
 
 # `is_lead` marks one posting per document and field, so that documents can be
 # counted by adding up. The file columns repeat the document's own values: a
-# search filters and sorts on them without joining the documents table.
+# search filters and sorts on them without joining the documents table. `file_part`
+# numbers the documents file of the batch that holds the text.
 POSTINGS_SCHEMA = T.StructType(
     [
         T.StructField("field", T.StringType()),
@@ -59,10 +60,12 @@ POSTINGS_SCHEMA = T.StructType(
         T.StructField("dl", T.LongType()),
         T.StructField("positions", T.ArrayType(T.IntegerType())),
         T.StructField("is_lead", T.BooleanType()),
+        T.StructField("file_name", T.StringType()),
         T.StructField("file_type", T.StringType()),
         T.StructField("file_size", T.LongType()),
         T.StructField("created_at", T.TimestampType()),
         T.StructField("modified_at", T.TimestampType()),
+        T.StructField("file_part", T.IntegerType()),
         T.StructField("batch_id", T.LongType()),
         T.StructField("term_bucket", T.IntegerType()),
     ]

@@ -64,6 +64,22 @@ def test_hits_are_fetched_by_pushed_paths(index):
     assert "hashpartitioning" not in text
 
 
+def test_lookup_opens_only_the_files_of_its_hits(spark, tmp_path):
+    DocumentIndex.create(spark, str(tmp_path))
+    spread = as_documents(spark, ROWS).repartition(40, "file_path")
+    index_documents(DocumentIndex(spark, str(tmp_path)), spread, unique_paths=True)
+    index = DocumentIndex(spark, str(tmp_path))
+    files = {f for f in index.document_versions().inputFiles()}
+    assert len(files) > 15
+    hits = search_documents(index, "word3", 1, fuzziness=0)
+    assert [row["file_path"] for row in hits.collect()] == ["/t/3.csv"]
+    opened = [f for f in hits.inputFiles() if "/documents/" in f]
+    assert len(opened) == 1
+    by_name = advanced_search(index, "common", sort_by="file_name", size=1)
+    assert len([f for f in by_name.inputFiles() if "/documents/" in f]) == 1
+    assert "SortMergeJoin" not in plan(by_name)
+
+
 def test_filter_search_reads_no_text(index):
     found = advanced_search(index, file_type="pdf", size=None).select("file_path", "score")
     reads = [line for line in plan(found).splitlines() if line.startswith("ReadSchema")]
