@@ -1,6 +1,7 @@
 """Document indexing and ranked full-text search as Spark jobs over tables."""
 
 from folioseek.plans.ingest import (
+    count_files,
     index_changed_documents,
     index_documents,
     index_folder,
@@ -25,6 +26,7 @@ __all__ = [
     "DocumentIndex",
     "advanced_search",
     "bool_search",
+    "count_files",
     "documents_from_records",
     "index_arrivals",
     "index_changed_documents",

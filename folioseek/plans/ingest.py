@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from folioseek.functions.decoders import Decoder
 from folioseek.functions.text import normalize_text
 from folioseek.operators.changes import new_or_changed, new_or_modified_files
+from folioseek.operators.trends import scan_counters
 from folioseek.plans.store import Batch, DocumentIndex
+from folioseek.schema import FILE_TYPES
 from folioseek.sources.extraction import extract_documents
 from folioseek.sources.files import file_records, scan_folder
 
@@ -22,6 +24,20 @@ def process_folder(
     return _documents(scan_folder(spark, folder), decoders, normalize)
 
 
+def count_files(
+    spark: SparkSession,
+    folder: str,
+    decoders: Mapping[str, Decoder] | None = None,
+) -> DataFrame:
+    """Files seen (all of them), files processed and bytes, per file type."""
+    done = process_folder(spark, folder, decoders)
+    seen = file_records(scan_folder(spark, folder, ()))
+    kinds = ", ".join(f"'{kind}'" for kind in FILE_TYPES)
+    other = seen.filter(f"file_type NOT IN ({kinds})").withColumn("reason", F.lit("unsupported"))
+    columns = ("file_type", "file_size", "reason")
+    return scan_counters(done.select(*columns).unionByName(other.select(*columns)))
+
+
 def _documents(
     files: DataFrame, decoders: Mapping[str, Decoder] | None, normalize: bool
 ) -> DataFrame:

@@ -339,10 +339,13 @@ class DocumentIndex:
                 taken = count_terms(build_postings(old, self.analyzer), -1)
                 counted = merge_term_counts(counted.unionByName(taken))
         save(
-            counted.withColumn("term_len", F.char_length("term")).sortWithinPartitions(
-                "field", "term_len", "term"
-            ),
+            # Folders by length, so that a search lists only the lengths it can reach.
+            counted.withColumn("term_len", F.char_length("term"))
+            .hint("rebalance", "field", "term_len")
+            .sortWithinPartitions("field", "term_len", "term"),
             "term_stats",
+            "field",
+            "term_len",
         )
         save(field_counts(saved("term_stats", TERM_STATS_SCHEMA)).coalesce(1), "field_stats")
         self._commit(

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from folioseek.schema import FILE_TYPES
+from folioseek.sources.omitted import OmittedFiles
 
 # Largest file Spark's binary source loads into one row.
 MAX_FILE_BYTES = 2_147_483_647
@@ -38,22 +39,24 @@ def any_case_glob(types: tuple[str, ...] = FILE_TYPES) -> str:
 def scan_folder(
     spark: SparkSession, folder: str, types: tuple[str, ...] = FILE_TYPES
 ) -> DataFrame:
-    """Supported files below a folder as `binaryFile` rows.
+    """Supported files below a folder as `binaryFile` rows; all files without `types`.
 
     A missing folder gives no rows. Columns not used later are never read, so
-    selecting path, time and length lists files without opening them.
+    selecting path, time and length lists files without opening them. Hidden and
+    empty files, which that source passes over, come from a source of their own.
     """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if types:
+        reader = reader.option("pathGlobFilter", any_case_glob(types))
     try:
-        return (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", any_case_glob(types))
-            .load(os.fspath(folder))
-        )
+        plain = reader.load(os.fspath(folder))
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], BINARY_SCHEMA)
+    spark.dataSource.register(OmittedFiles)
+    more = spark.read.format("omitted_files").option("types", ",".join(types))
+    return plain.unionByName(more.load(os.fspath(folder)))
 
 
 def file_records(files: DataFrame, *more: str) -> DataFrame:

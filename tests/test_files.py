@@ -4,9 +4,14 @@ import os
 
 import pytest
 
-from folioseek import DocumentIndex, index_folder, process_folder, search_documents
+from folioseek import (
+    DocumentIndex,
+    count_files,
+    index_folder,
+    process_folder,
+    search_documents,
+)
 from folioseek.functions.decoders import decode_docx, decode_xlsx
-from folioseek.operators.trends import scan_counters
 from folioseek.sources.extraction import extract_documents
 from folioseek.sources.files import scan_folder
 from office import docx, xlsx
@@ -31,6 +36,9 @@ def folder(tmp_path_factory):
         "g.doc": b"old",
         "h.txt": b"ignored",
         "empty.csv": b"",
+        "sub/_budget.csv": SAMPLE,
+        "sub/.notes.CSV": SAMPLE,
+        "_skip.txt": b"ignored",
         "sub/deep/a b é.csv": SAMPLE,
         "p%20q.csv": SAMPLE,
     }
@@ -50,7 +58,8 @@ def test_scan_finds_supported_files_below_the_folder(spark, folder):
     found = {row["path"].rsplit("/", 1)[-1] for row in rows}
     assert found == {
         "a.docx", "b.xlsx", "c.csv", "D.CSV", "hdr.csv", "ragged.csv", "broken.docx",
-        "e.pdf", "f.xls", "g.doc", "a b é.csv", "p%20q.csv",
+        "e.pdf", "f.xls", "g.doc", "a b é.csv", "p%20q.csv", "_budget.csv", ".notes.CSV",
+        "empty.csv",
     }
 
 
@@ -134,21 +143,34 @@ def test_large_files_are_listed_not_opened(spark, folder):
     assert set(large.values()) == {"too_large"} and "c.csv" in large
 
 
-def test_counters(spark, folder):
-    rows = scan_counters(process_folder(spark, str(folder))).collect()
+def test_counters_are_those_of_a_walk(spark, folder):
+    rows = count_files(spark, str(folder)).collect()
     counted = {row["file_type"]: (row["files_seen"], row["files_processed"]) for row in rows}
-    assert counted["csv"] == (6, 5) and counted["docx"] == (2, 1) and counted["doc"] == (1, 0)
+    assert counted["csv"] == (9, 7) and counted["docx"] == (2, 1) and counted["doc"] == (1, 0)
+    assert counted["txt"] == (2, 0)
+    walked = sum(len(names) for _, _, names in os.walk(folder))
+    assert sum(seen for seen, _ in counted.values()) == walked
+
+
+def test_hidden_and_empty_files(extracted, folder):
+    row = extracted["_budget.csv"]
+    assert row["file_path"] == f"file:{folder}/sub/_budget.csv"
+    assert row["content"] == extracted["c.csv"]["content"]
+    assert extracted[".notes.CSV"]["file_type"] == "csv"
+    assert extracted["empty.csv"]["content"] is None and extracted["empty.csv"]["reason"]
 
 
 def test_index_a_folder(spark, folder, tmp_path):
     index = DocumentIndex.create(spark, str(tmp_path / "index"))
     batch = index_folder(index, str(folder))
-    assert batch.indexed == 7
+    assert batch.indexed == 9
     failed = {row["file_path"].rsplit("/", 1)[-1] for row in batch.failed.collect()}
     assert failed >= {"broken.docx", "ragged.csv", "g.doc"}
     opened = DocumentIndex(spark, str(tmp_path / "index"))
     hits = search_documents(opened, "Jane").collect()
-    assert {row["file_name"] for row in hits} == {"c.csv", "a b é.csv", "p%20q.csv"}
+    assert {row["file_name"] for row in hits} == {
+        "c.csv", "a b é.csv", "p%20q.csv", "_budget.csv", ".notes.CSV",
+    }
 
 
 def test_empty_folder_writes_nothing(spark, tmp_path):

@@ -7,6 +7,7 @@ from conftest import as_documents
 from folioseek import DocumentIndex, advanced_search, index_documents, search_documents
 from folioseek.operators.changes import latest_versions, one_per_path
 from folioseek.operators.filters import Filters
+from folioseek.operators.matching import near_literals
 from folioseek.operators.postings import build_postings
 from folioseek.plans import search
 from folioseek.sources.files import file_records, scan_folder
@@ -64,6 +65,12 @@ def test_hits_are_fetched_by_pushed_paths(index):
     assert "hashpartitioning" not in text
 
 
+def test_near_terms_are_sought_in_folders_of_their_lengths(index):
+    near = near_literals(index.term_changes(), ["common"])
+    filters = next(x for x in plan(near).splitlines() if x.startswith("PartitionFilters"))
+    assert "term_len" in filters
+
+
 def test_lookup_opens_only_the_files_of_its_hits(spark, tmp_path):
     DocumentIndex.create(spark, str(tmp_path))
     spread = as_documents(spark, ROWS).repartition(40, "file_path")
