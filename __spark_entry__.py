@@ -361,10 +361,23 @@ def queries() -> dict[str, Query]:
         "term_trends": _on_index(lambda i: term_trends(i)),
     }
     for module in _training_data_modules():
-        found.update(module.QUERIES)
+        found.update({name: _importable(query) for name, query in module.QUERIES.items()})
     return found
 
 
+def _importable(query: Query) -> Query:
+    """Let Python workers on this machine import the package from this folder."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        paths = spark.sparkContext.environment
+        known = [p for p in paths.get("PYTHONPATH", "").split(":") if p]
+        here = str(Path(__file__).resolve().parent)
+        paths["PYTHONPATH"] = ":".join(dict.fromkeys([here, *known]))
+        return query(spark, sf_dir)
+
+    return run
+
+
 def _training_data_modules() -> list:
     """Modules with QUERIES and ORACLE_QUERIES of the separate training-data subpackage.
 
