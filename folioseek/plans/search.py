@@ -223,7 +223,8 @@ def search_many(
 
     Words meet the vocabulary, and terms the postings, in equi-joins, and each
     query's top is cut in every task before the shuffle. How a join is done is
-    left to adaptive execution, and no hits or terms reach the driver.
+    left to adaptive execution; no hits or terms reach the driver, only the words
+    if they are few.
     """
     check_fuzziness(fuzziness)
     words = queries.select(
@@ -231,7 +232,13 @@ def search_many(
         F.expr(f"explode({placed_terms('query_text', index.analyzer)})").alias("placed"),
     ).groupBy("query_id", F.col("placed.term").alias("token"))
     asked = words.agg(F.count(F.lit(1)).alias("repeats"))
-    near = near_words(_vocabulary(index), asked.select("token").distinct(), fuzziness)
+    tokens = asked.select("token").distinct()
+    # A few words are sought as literals, which spares the keys of the vocabulary.
+    few = tokens.limit(LITERAL_WORDS + 1).collect()
+    if len(few) <= LITERAL_WORDS:
+        near = near_literals(_vocabulary(index), [row["token"] for row in few], fuzziness)
+    else:
+        near = near_words(_vocabulary(index), tokens, fuzziness)
     merged = len(index.batches) == 1
     expansions = best_expansions(near, index.per_field("n"), merged, max_expansions)
     terms = boosts(asked.join(expansions, "token"), ("query_id",))
