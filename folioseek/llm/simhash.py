@@ -43,18 +43,12 @@ def _shingle_hashes(text: Column, width: int) -> Column:
     """XXH64 (seed 42) of the space-joined shingles, repeats included."""
     words = F.col("words")
     n = F.size("words")
-    if width != 3:
-        joined = F.transform(
-            F.sequence(F.lit(1), n - width + 1),
-            lambda i: F.xxhash64(F.array_join(F.slice("words", i, width), " ")),
-        )
-    else:
-        joined = F.transform(
-            F.sequence(F.lit(0), n - 3),
-            lambda i: F.xxhash64(
-                F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-            ),
-        )
+    joined = F.transform(
+        F.sequence(F.lit(0), n - width),
+        lambda i: F.xxhash64(
+            F.concat_ws(" ", F.get(words, i), *(F.get(words, i + k) for k in range(1, width)))
+        ),
+    )
     return (
         F.when(n >= width, joined)
         .when(n > 0, F.array(F.xxhash64(F.array_join("words", " "))))
@@ -90,13 +84,17 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", width: int = 3) -> DataFrame:
-    """`id` and `fp` of every row of `docs`."""
+def shingles(docs: DataFrame, id_col: str = "doc_id", width: int = 3) -> DataFrame:
+    """`id` and `hashes` of the shingles, repeats included, of every row of `docs`."""
     words = docs.select(
         F.col(id_col).cast("long").alias("id"), split_words(ascii_lower(F.col("text"))).alias("words")
     )
-    hashed = words.select("id", _shingle_hashes(F.col("text"), width).alias("hashes"))
-    return hashed.mapInArrow(_fold, "id long, fp long")
+    return words.select("id", _shingle_hashes(F.col("text"), width).alias("hashes"))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", width: int = 3) -> DataFrame:
+    """`id` and `fp` of every row of `docs`."""
+    return shingles(docs, id_col, width).mapInArrow(_fold, "id long, fp long")
 
 
 def _segment(side: int) -> Column:
@@ -164,13 +162,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", width: int = 3) ->
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row of each group of near copies: that with the least id.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", find=near_components) -> DataFrame:
+    """One row of each group of near copies that `find` names: that with the least id.
 
     Of several rows with that id one is kept, whichever; rows without an id are
     all kept.
     """
-    rows = near_components(docs, id_col).filter(F.col(id_col) == F.col("component_id"))
+    rows = find(docs, id_col).filter(F.col(id_col) == F.col("component_id"))
     keep = rows.groupBy(F.col(id_col).alias("keep_id")).agg(F.count(F.lit(1)).alias("copies"))
     kept = docs.join(keep.hint("shuffle_hash"), F.col(id_col) == F.col("keep_id"))
     once = kept.filter("copies = 1").select(docs.columns)
