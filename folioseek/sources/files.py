@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from folioseek.schema import FILE_TYPES
-from folioseek.sources.omitted import OmittedFiles
+from folioseek.sources.omitted import omitted_files
 
 # Largest file Spark's binary source loads into one row.
 MAX_FILE_BYTES = 2_147_483_647
@@ -43,7 +43,8 @@ def scan_folder(
 
     A missing folder gives no rows. Columns not used later are never read, so
     selecting path, time and length lists files without opening them. Hidden and
-    empty files, which that source passes over, come from a source of their own.
+    empty files and those in hidden folders, which that source passes over, come
+    from a source of their own.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if types:
@@ -54,9 +55,7 @@ def scan_folder(
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], BINARY_SCHEMA)
-    spark.dataSource.register(OmittedFiles)
-    more = spark.read.format("omitted_files").option("types", ",".join(types))
-    return plain.unionByName(more.load(os.fspath(folder)))
+    return plain.unionByName(omitted_files(spark, os.fspath(folder), types))
 
 
 def file_records(files: DataFrame, *more: str) -> DataFrame:

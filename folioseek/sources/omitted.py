@@ -1,23 +1,53 @@
-"""Files that Spark's file sources pass over: hidden names and empty files."""
+"""Files that Spark's file sources pass over: hidden names, all below hidden folders, and empty files."""
 
+from collections import deque
 from collections.abc import Iterator
 from fnmatch import fnmatchcase
 
+import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-# Files that one task opens.
-FILES_PER_TASK = 64
+# Folders that the driver finds, at least, before tasks walk what is below them.
+FOLDERS = 1000
 
+SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
-def is_omitted(name: str, size: int) -> bool:
-    return size == 0 or name.startswith((".", "_"))
+
+def is_hidden(name: str) -> bool:
+    """Whether Spark takes no file of this name: a leading `.`, or `_` without `=`, or a copy under way."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def is_hidden_folder(name: str) -> bool:
+    """Whether Spark does not walk a folder of this name; names of Parquet's metadata it does."""
+    return is_hidden(name) and not name.startswith(("_metadata", "_common_metadata"))
+
+
+def open_folder(folder: str) -> tuple[fs.FileSystem, str, str]:
+    """File system, root below it, and what Spark writes before a path of it."""
+    folder = folder.removeprefix("file://").removeprefix("file:")
+    if "://" not in folder:
+        return fs.LocalFileSystem(), folder, "file:"
+    system, root = fs.FileSystem.from_uri(folder)
+    return system, root, folder.split("://")[0] + "://"
+
+
+def _listed(system: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
+    return system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+
+
+def _below(infos: list[fs.FileInfo], hidden: bool) -> list[tuple[str, bool]]:
+    """The folders among `infos`, and whether Spark passes over what is in them."""
+    folders = [i for i in infos if i.type == fs.FileType.Directory]
+    return [(i.path, hidden or is_hidden_folder(i.base_name)) for i in folders]
 
 
 class OmittedFiles(DataSource):
-    """Hidden and empty files below `path` whose type is among `types` (all if empty).
+    """Path, time and length of omitted files below `path` whose type is among `types` (all if empty).
 
-    The listing is Arrow's; the rows are like those of `binaryFile`.
+    The driver goes through the uppermost folders only; tasks walk the others.
     """
 
     @classmethod
@@ -25,7 +55,7 @@ class OmittedFiles(DataSource):
         return "omitted_files"
 
     def schema(self) -> str:
-        return "path string, modificationTime timestamp, length bigint, content binary"
+        return "path string, modificationTime timestamp, length bigint"
 
     def reader(self, schema) -> "OmittedReader":
         return OmittedReader(self.options["path"], self.options.get("types", ""))
@@ -35,29 +65,55 @@ class OmittedReader(DataSourceReader):
     def __init__(self, folder: str, types: str):
         self.folder, self.types = folder, [t for t in types.split(",") if t]
 
-    def _open(self) -> tuple[fs.FileSystem, str, str]:
-        """File system, root below it, and what Spark writes before a path of it."""
-        folder = self.folder.removeprefix("file://").removeprefix("file:")
-        if "://" not in folder:
-            return fs.LocalFileSystem(), folder, "file:"
-        system, root = fs.FileSystem.from_uri(folder)
-        return system, root, folder.split("://")[0] + "://"
-
     def partitions(self) -> list[InputPartition]:
-        system, root, _ = self._open()
-        found = []
-        for info in system.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)):
-            wanted = not self.types or any(
-                fnmatchcase(info.base_name.lower(), f"*.{t}") for t in self.types
-            )
-            if info.is_file and wanted and is_omitted(info.base_name, info.size):
-                found.append(info.path)
-        parts = [found[a : a + FILES_PER_TASK] for a in range(0, len(found), FILES_PER_TASK)]
-        return [InputPartition(part) for part in parts] or [InputPartition([])]
+        """Lists of (folder, hidden, whether its own folders are walked too)."""
+        system, root, _ = open_folder(self.folder)
+        seen, waiting = [], deque([(root, False)])
+        while waiting and len(waiting) < FOLDERS:
+            folder, hidden = waiting.popleft()
+            seen.append((folder, hidden, False))
+            waiting.extend(_below(_listed(system, folder), hidden))
+        found = seen + [(folder, hidden, True) for folder, hidden in waiting]
+        step = len(found) // FOLDERS + 1
+        return [InputPartition(found[a : a + step]) for a in range(0, len(found), step)]
+
+    def _wanted(self, info: fs.FileInfo, hidden: bool) -> bool:
+        if not info.is_file or not (hidden or info.size == 0 or is_hidden(info.base_name)):
+            return False
+        name = info.base_name.lower()
+        return not self.types or any(fnmatchcase(name, f"*.{t}") for t in self.types)
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        system, _, prefix = self._open()
-        for path in partition.value:
-            info = system.get_file_info(path)
-            with system.open_input_stream(path) as stream:
-                yield prefix + path, info.mtime, info.size, stream.read()
+        system, _, prefix = open_folder(self.folder)
+        waiting = list(partition.value)
+        while waiting:
+            folder, hidden, walked = waiting.pop()
+            infos = _listed(system, folder)
+            for info in infos:
+                if self._wanted(info, hidden):
+                    yield prefix + info.path, info.mtime, info.size
+            if walked:
+                waiting.extend((*below, True) for below in _below(infos, hidden))
+
+
+def _with_content(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _, prefix = open_folder(folder)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                with system.open_input_stream(row.column(0)[0].as_py().removeprefix(prefix)) as stream:
+                    content = pa.array([stream.read()], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [*row.columns, content], [*row.schema.names, "content"]
+                )
+
+    return run
+
+
+def omitted_files(spark: SparkSession, folder: str, types: tuple[str, ...] = ()) -> DataFrame:
+    """Omitted files as rows like those of `binaryFile`; what is found is dealt out evenly to be read."""
+    spark.dataSource.register(OmittedFiles)
+    found = spark.read.format("omitted_files").option("types", ",".join(types)).load(folder)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return found.repartition(parts).mapInArrow(_with_content(folder), SCHEMA)
