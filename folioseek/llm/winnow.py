@@ -285,9 +285,10 @@ def contamination(
     items_of = found.select(*by_row, "item_id").distinct().groupBy(*by_row).agg(
         F.count(F.lit(1)).alias("n_items"), item_list.alias("items")
     )
-    hit_rows = n_hit.join(items_of, by_row).select(
-        F.col("id").alias("hit_id"), F.col("key").alias("hit_key"), "n_hit", "n_items", "items"
-    )
+    n_hit = n_hit.select(F.col("id").alias("hit_id"), F.col("key").alias("hit_key"), "n_hit")
+    # Null-safe, as rows without an id have hits like any other.
+    both = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key"))
+    hit_rows = n_hit.join(items_of, both).select("hit_id", "hit_key", "n_hit", "n_items", "items")
     same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key"))
     hit_words = F.coalesce("n_hit", F.lit(0))
     return marked.select("id", "key", "n_words").join(hit_rows, same, "left").select(
@@ -303,7 +304,9 @@ def contamination(
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 ) -> DataFrame:
-    """The rows of `docs` that are not contaminated; an id that repeats goes if any of its rows is."""
-    bad = contamination(docs, benchmark, id_col).filter("contaminated")
-    bad = bad.select(F.col(id_col).alias("bad_id")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("bad_id")), "left_anti")
+    """The rows of `docs` that are not contaminated, each judged by its own text."""
+    own = F.concat_ws(":", F.col(id_col).cast("string"), F.md5(F.col("text").cast("binary")))
+    judged = docs.select(own.alias("row"), "text")
+    bad = contamination(judged, benchmark, "row").filter("contaminated")
+    bad = bad.select(F.col("row").alias("bad_row")).distinct()
+    return docs.join(bad, own == F.col("bad_row"), "left_anti")

@@ -88,3 +88,16 @@ def test_drop_contaminated(spark, case):
     bad = {d[0] for d in docs if expected(d[1], items)[3]}
     assert kept.columns == table.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d[0]) for d in docs if d[0] not in bad)
+
+
+def test_rows_without_id_and_ids_that_repeat(spark):
+    items = [(0, prose("item", 30))]
+    docs = [(None, prose("item", 30)), (None, prose("clean", 40)), (None, None), (1, "kept row")]
+    docs += [(1, f"{prose('item', 30)} more"), (2, prose("item", 30)), (2, prose("item", 30))]
+    table, bench = documents(spark, docs), items_table(spark, items)
+    found = winnow.contamination(table, bench).collect()
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in found)
+    assert got == sorted((str(d[0]), *expected(d[1], items)) for d in docs)
+    kept = winnow.drop_contaminated(table, bench)
+    assert kept.columns == table.columns
+    assert sorted(map(str, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(map(str, docs[1:4]))
