@@ -9,28 +9,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioseek.llm import mixture, neardup, quality, secrets, winnow
+from folioseek.llm import mixture, quality, secrets, simhash, winnow
 from folioseek.llm.common import read_table, saved
 from folioseek.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that fail the base rules or lie far outside their language and source."""
+    """Drop documents that fail the base rules or lie far outside their language and source.
+
+    Each row is judged by itself, whatever its id; null and short texts go.
+    """
     return quality.keep_good(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group of near copies: five-word shingles, similarity 0.8."""
-    return neardup.keep_first(docs)
+    """Keep one document of each group linked by fingerprints of three-word shingles, two bits apart.
+
+    That with the least id stays, a row without an id only in a group without any.
+    """
+    return simhash.keep_first(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that benchmark passages make up a twentieth of, or more."""
+    """Drop documents that benchmark passages make up a twentieth of, or more; each row by itself."""
     return winnow.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets inside the texts; every document stays."""
+    """Replace secrets inside the texts; every document stays, null texts as they are."""
     return secrets.redact(docs)
 
 
