@@ -294,17 +294,11 @@ def quality_verdicts(
     )
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
+def keep_good(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of `docs` that neither fail the base rules nor are outliers.
 
-    Ids that repeat go with the worst verdict of their rows; a null id counts as one.
+    Each row is judged by itself: rows with one id, or without any, may differ.
     """
-    verdicts = quality_verdicts(docs, id_col, **parameters)
-    good = (
-        verdicts.groupBy(F.col(id_col).alias("good_id"))
-        .agg(F.bool_and("kept").alias("good"))
-        .filter("good")
-        .select("good_id")
-    )
-    same = F.col(id_col).eqNullSafe(F.col("good_id"))
-    return docs.join(good.hint("shuffle_hash"), same, "left_semi")
+    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "quality_rows")
+    good = quality_verdicts(rows, "__row", **parameters).filter("kept").select("__row")
+    return rows.join(good.hint("shuffle_hash"), "__row", "left_semi").select(docs.columns)

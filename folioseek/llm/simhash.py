@@ -162,15 +162,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", width: int = 3) ->
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", find=near_components) -> DataFrame:
-    """One row of each group of near copies that `find` names: that with the least id.
+def keep_first(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row of each group of near copies: that with the least id.
 
-    Of several rows with that id one is kept, whichever; rows without an id are
-    all kept.
+    Rows are told apart by a number of their own, so that repeated and null ids
+    lose no other text; an id goes before none, and of equal ids any one stays.
     """
-    rows = find(docs, id_col).filter(F.col(id_col) == F.col("component_id"))
-    keep = rows.groupBy(F.col(id_col).alias("keep_id")).agg(F.count(F.lit(1)).alias("copies"))
-    kept = docs.join(keep.hint("shuffle_hash"), F.col(id_col) == F.col("keep_id"))
-    once = kept.filter("copies = 1").select(docs.columns)
-    again = kept.filter("copies > 1").dropDuplicates([id_col]).select(docs.columns)
-    return once.unionByName(again).unionByName(docs.filter(F.col(id_col).isNull()))
+    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "near_rows")
+    groups = near_components(rows, "__row").select("__row", F.col("component_id").alias("group"))
+    ids = rows.select("__row", F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
+    first = groups.join(ids, "__row").groupBy("group").agg(F.min(F.struct("none", "id", "__row")).alias("first"))
+    kept = first.select(F.col("first.__row").alias("__row"))
+    return rows.join(kept.hint("shuffle_hash"), "__row", "left_semi").select(docs.columns)

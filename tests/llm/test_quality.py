@@ -73,3 +73,9 @@ def test_keep_good_returns_whole_rows(spark):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4]
+
+
+def test_keep_good_judges_rows_with_one_id_or_none_alone(spark):
+    rows = [(5, prose(1, 60)), (5, "short"), (None, prose(2, 60)), (None, prose(3, 60)), (None, "x")]
+    kept = quality.keep_good(documents(spark, rows)).collect()
+    assert sorted(r.text for r in kept) == sorted(prose(seed, 60) for seed in (1, 2, 3))

@@ -93,8 +93,11 @@ def test_long_texts_in_parts(monkeypatch):
 
 def test_keep_first(spark):
     rows = [(5, prose(1, 90)), (3, prose(1, 90)), (8, prose(2, 90)), (8, prose(2, 90)), (None, prose(1, 90))]
+    rows += [(8, prose(3, 90)), (None, prose(4, 90)), (None, prose(5, 90)), (None, prose(5, 90))]
     docs = documents(spark, rows)
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "8", "None"]
+    wanted = [(3, 1), (8, 2), (8, 3), (None, 4), (None, 5)]
+    found = sorted((str(r.doc_id), r.text) for r in kept.collect())
+    assert found == sorted((str(i), prose(seed, 90)) for i, seed in wanted)
     assert simhash.keep_first(documents(spark, [])).collect() == []
