@@ -87,8 +87,35 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id"""
 
 
+def hard_negatives() -> str:
+    """All anchors against all rows; sums of products stay exact in doubles."""
+    odd = "x -> x IS NULL OR NOT isfinite(x)"
+    return f"""WITH v AS (
+  SELECT vec_id, if(vec_id % 7 = 0, (label + 1) % 10, label) AS label,
+    list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, {odd})) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a, v b WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s
+  WHERE same AND id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score,
+  s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 3"""
+
+
 ORACLE_QUERIES = {
     "op2_benchmark_decontamination": contamination(),
     "op3_secret_scans": secret_spans(),
     "op5_chat_round_trip": chat_digests(),
+    "op11_hard_negatives": hard_negatives(),
 }

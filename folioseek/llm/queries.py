@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bestfit, bwtdedup, chat, classlm, mixture, quality, secrets, simhash, toxicity, winnow
+from . import bestfit, bwtdedup, chat, classlm, hardneg, mixture, quality, secrets, simhash, toxicity, winnow
 from .common import read_table
 from .oracles import ORACLE_QUERIES  # noqa: F401
 
@@ -87,6 +87,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", hex_digits.alias("fingerprint"), "component_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", moved))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -98,5 +104,6 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_mixture_packing": op10_mixture_packing,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
