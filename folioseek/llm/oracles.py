@@ -89,10 +89,10 @@ FROM turns GROUP BY conv_id"""
 
 def hard_negatives() -> str:
     """All anchors against all rows; sums of products stay exact in doubles."""
-    odd = "x -> x IS NULL OR NOT isfinite(x)"
+    odd = "lambda x: x IS NULL OR NOT isfinite(x)"
     return f"""WITH v AS (
   SELECT vec_id, if(vec_id % 7 = 0, (label + 1) % 10, label) AS label,
-    list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, {odd})) = 0),
