@@ -4,8 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bestfit, bwtdedup, chat, classlm, hardneg, mixture, quality, secrets, simhash, toxicity, winnow
-from .common import read_table
+from . import (
+    bestfit,
+    bwtdedup,
+    chat,
+    classlm,
+    hardneg,
+    mixture,
+    periodic,
+    quality,
+    secrets,
+    simhash,
+    toxicity,
+    winnow,
+)
+from .common import read_table, split_words
 from .oracles import ORACLE_QUERIES  # noqa: F401
 
 VOCABULARY = "word_bpe_49k.json"
@@ -93,6 +106,36 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(rows.withColumn("label", moved))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", split_words(F.col("text")).alias("words"), F.crc32(F.col("doc_id").cast("string")).alias("h")
+    )
+    # In a tenth of the texts the words from `a` on repeat with the period `p`.
+    docs = docs.withColumn("n", F.size("words")).withColumn("g", F.expr("h DIV 10"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", F.expr("cast(1 + (n - a) DIV (3 + g % 8) AS int)"))
+    repeated = F.expr("transform(words, (w, i) -> if(i < a, w, get(words, a + (i - a) % p)))")
+    words = F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), repeated).otherwise(F.col("words"))
+    found = periodic.periodic_runs(docs, words=words)
+    best = F.expr(
+        "get(array_sort(runs, (x, y) -> CASE "
+        "WHEN x.length <> y.length THEN if(x.length > y.length, -1, 1) "
+        "WHEN x.start <> y.start THEN if(x.start < y.start, -1, 1) "
+        "ELSE cast(signum(x.period - y.period) AS int) END), 0)"
+    )
+    lines = F.expr("array_join(transform(runs, x -> concat(x.start, ',', x.length, ',', x.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -105,5 +148,6 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_mixture_packing": op10_mixture_packing,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
