@@ -115,22 +115,28 @@ class Catcher:
 
     def runs(self, least: int = 2) -> np.ndarray:
         """start, length, period of all runs of at least `least` words, by start and period."""
-        found = [self._extended(level) for level in range(len(self.chains)) if len(self.chains[level])]
-        rows = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        rows = rows[rows[:, 1] >= max(least, 2)]
+        rows = np.zeros((0, 3), np.int64)
+        for level in range(len(self.chains)):
+            rows = np.concatenate([rows, self._extended(level, rows)])
+        rows = rows[rows[:, 1] >= least]
         # The same stretch at multiples of a period: the least one names it.
         rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
         first = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)] if len(rows) else np.zeros(0, bool)
         rows = rows[first]
         return rows[np.lexsort((rows[:, 2], rows[:, 0]))]
 
-    def _extended(self, level: int) -> np.ndarray:
-        """The stretches around the chains of a level that hold a square."""
+    def _extended(self, level: int, known: np.ndarray) -> np.ndarray:
+        """The stretches around the chains of a level that hold a square.
+
+        What lies in a `known` stretch whose period divides the chain's is that stretch again.
+        """
         size, words = 1 << level, self.words
         period, first, last = self.chains[level].T
         start, stop = first * size, (last + 1) * size + period
         # Less than a block can be won at either end.
         near = stop - start + 2 * (size - 1) >= 2 * period
+        for s, n, q in known[known[:, 1] >= self._least(level) + size].tolist():
+            near &= (start < s) | (stop > s + n) | (period % q != 0)
         period, start, stop = period[near], start[near].copy(), stop[near].copy()
         for step, ends in ((-1, start), (1, stop)):
             moving = np.arange(len(ends))
