@@ -12,6 +12,7 @@ from . import (
     hardneg,
     mixture,
     periodic,
+    pii,
     quality,
     secrets,
     simhash,
@@ -106,6 +107,25 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(rows.withColumn("label", moved))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii.find_spans(docs, pii.fit(docs))
+
+    def lines(spans: F.Column) -> F.Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda x: x["kind"].isin(list(pii.KINDS)))
+    return found.select(
+        "doc_id",
+        *(count(kind) for kind in pii.KINDS),
+        F.sha2(lines(base), 256).alias("base_sha256"),
+        lines(F.col("spans")).alias("spans"),
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(
         "doc_id", split_words(F.col("text")).alias("words"), F.crc32(F.col("doc_id").cast("string")).alias("h")
@@ -148,6 +168,7 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_mixture_packing": op10_mixture_packing,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_personal_data": op12_personal_data,
     "op13_periodic_runs": op13_periodic_runs,
 }
 

@@ -14,7 +14,7 @@ DATA = Path("/root/testdata/sf0.001")
 
 def test_names():
     found = contract.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(found)
     assert set(contract.oracle_sql()) <= set(found)
 
