@@ -294,11 +294,15 @@ def quality_verdicts(
     )
 
 
-def keep_good(docs: DataFrame, **parameters) -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
     """The rows of `docs` that neither fail the base rules nor are outliers.
 
-    Each row is judged by itself: rows with one id, or without any, may differ.
+    Each row is judged by its own text, language and source: rows with one id, or
+    without any, may differ.
     """
-    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "quality_rows")
-    good = quality_verdicts(rows, "__row", **parameters).filter("kept").select("__row")
-    return rows.join(good.hint("shuffle_hash"), "__row", "left_semi").select(docs.columns)
+    parts = [F.col(id_col).cast("string"), "text", "lang", "source"]
+    own = F.md5(F.to_json(F.array(*parts)).cast("binary"))
+    judged = docs.select(own.alias("row"), "text", "lang", "source")
+    good = quality_verdicts(judged, "row", **parameters).filter("kept")
+    good = good.select(F.col("row").alias("good_row")).distinct()
+    return docs.join(good.hint("shuffle_hash"), own == F.col("good_row"), "left_semi")

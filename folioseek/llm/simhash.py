@@ -86,15 +86,14 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shingles(docs: DataFrame, id_col: str = "doc_id", width: int = 3) -> DataFrame:
     """`id` and `hashes` of the shingles, repeats included, of every row of `docs`."""
-    words = docs.select(
-        F.col(id_col).cast("long").alias("id"), split_words(ascii_lower(F.col("text"))).alias("words")
-    )
+    words = docs.select(F.col(id_col).alias("id"), split_words(ascii_lower(F.col("text"))).alias("words"))
     return words.select("id", _shingle_hashes(F.col("text"), width).alias("hashes"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", width: int = 3) -> DataFrame:
     """`id` and `fp` of every row of `docs`."""
-    return shingles(docs, id_col, width).mapInArrow(_fold, "id long, fp long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return shingles(docs, id_col, width).mapInArrow(_fold, f"id {kind}, fp long")
 
 
 def _segment(side: int) -> Column:
@@ -165,12 +164,25 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", width: int = 3) ->
 def keep_first(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row of each group of near copies: that with the least id.
 
-    Rows are told apart by a number of their own, so that repeated and null ids
-    lose no other text; an id goes before none, and of equal ids any one stays.
+    Groups are found over texts, so that repeated and null ids lose no other text;
+    an id goes before none, and of rows with one id and text any one stays.
     """
-    rows = saved(docs.withColumn("__row", F.monotonically_increasing_id()), "near_rows")
-    groups = near_components(rows, "__row").select("__row", F.col("component_id").alias("group"))
-    ids = rows.select("__row", F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
-    first = groups.join(ids, "__row").groupBy("group").agg(F.min(F.struct("none", "id", "__row")).alias("first"))
-    kept = first.select(F.col("first.__row").alias("__row"))
-    return rows.join(kept.hint("shuffle_hash"), "__row", "left_semi").select(docs.columns)
+    own = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    groups = near_components(docs.select(own.alias("own"), "text"), "own").select(
+        F.col("own").alias("text_key"), F.col("component_id").alias("group")
+    )
+    rows = docs.select(F.col(id_col).alias("id"), own.alias("own")).groupBy("id", "own").agg(
+        F.count(F.lit(1)).alias("copies")
+    )
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "own", "copies")
+    first = (
+        rows.join(groups.distinct(), F.col("own") == F.col("text_key"))
+        .groupBy("group")
+        .agg(F.min(place).alias("first"))
+    )
+    keep = saved(first.select("first.copies", F.col("first.id").alias("keep_id"), F.col("first.own").alias("keep")), "kept")
+    same = (own == F.col("keep")) & F.col(id_col).eqNullSafe(F.col("keep_id"))
+    once = docs.join(keep.filter("copies = 1").hint("shuffle_hash"), same, "left_semi")
+    # Few rows are repeated whole; only they are shuffled again.
+    again = docs.join(keep.filter("copies > 1").hint("shuffle_hash"), same).dropDuplicates(["keep"])
+    return once.unionByName(again.select(docs.columns))
