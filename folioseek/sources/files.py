@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from folioseek.schema import FILE_TYPES
+from folioseek.sources.folders import qualified
 from folioseek.sources.omitted import omitted_files
 
 # Largest file Spark's binary source loads into one row.
@@ -20,6 +21,13 @@ BINARY_SCHEMA = T.StructType(
     ]
 )
 
+# `omitted` rows are those that Spark's file source passes over; their contents are
+# read later, from `stored_at`.
+SCAN_SCHEMA = T.StructType(
+    BINARY_SCHEMA.fields
+    + [T.StructField("stored_at", T.StringType()), T.StructField("omitted", T.BooleanType())]
+)
+
 
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
@@ -39,23 +47,27 @@ def any_case_glob(types: tuple[str, ...] = FILE_TYPES) -> str:
 def scan_folder(
     spark: SparkSession, folder: str, types: tuple[str, ...] = FILE_TYPES
 ) -> DataFrame:
-    """Supported files below a folder as `binaryFile` rows; all files without `types`.
+    """Supported files below a folder, as `binaryFile` gives them; all files without `types`.
 
     A missing folder gives no rows. Columns not used later are never read, so
     selecting path, time and length lists files without opening them. Hidden and
     empty files and those in hidden folders, which that source passes over, come
-    from a source of their own.
+    from a source of their own, `omitted` and with null contents.
     """
+    folder = os.fspath(folder)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if types:
         reader = reader.option("pathGlobFilter", any_case_glob(types))
     try:
-        plain = reader.load(os.fspath(folder))
+        plain = reader.load(folder)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], BINARY_SCHEMA)
-    return plain.unionByName(omitted_files(spark, os.fspath(folder), types))
+        return spark.createDataFrame([], SCAN_SCHEMA)
+    omitted = omitted_files(spark, qualified(spark, folder), types)
+    return plain.select("*", F.lit(None).cast("string").alias("stored_at"), F.lit(False).alias("omitted")).unionByName(
+        omitted.select("*", F.lit(None).cast("binary").alias("content"), F.lit(True).alias("omitted"))
+    )
 
 
 def file_records(files: DataFrame, *more: str) -> DataFrame:

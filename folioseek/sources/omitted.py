@@ -1,18 +1,35 @@
-"""Files that Spark's file sources pass over: hidden names, all below hidden folders, and empty files."""
+"""Files that Spark's file sources pass over: hidden names, all below hidden folders, and empty files.
 
+They are listed here without being opened; contents are read in a later step,
+for those rows only that still need them.
+"""
+
+from __future__ import annotations
+
+import json
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fnmatch import fnmatchcase
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from folioseek.sources.folders import (
+    ArrowFolder,
+    HadoopFolder,
+    Listed,
+    arrow_folder,
+    storage_of,
+    storage_settings,
+)
+
 # Folders that the driver finds, at least, before tasks walk what is below them.
 FOLDERS = 1000
 
-SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+# `stored_at` is where tasks can read the file; null if none can.
+SCHEMA = "path string, modificationTime timestamp, length bigint, stored_at string"
+CONTENTS = f"{SCHEMA}, content binary"
 
 
 def is_hidden(name: str) -> bool:
@@ -25,29 +42,35 @@ def is_hidden_folder(name: str) -> bool:
     return is_hidden(name) and not name.startswith(("_metadata", "_common_metadata"))
 
 
-def open_folder(folder: str) -> tuple[fs.FileSystem, str, str]:
-    """File system, root below it, and what Spark writes before a path of it."""
-    folder = folder.removeprefix("file://").removeprefix("file:")
-    if "://" not in folder:
-        return fs.LocalFileSystem(), folder, "file:"
-    system, root = fs.FileSystem.from_uri(folder)
-    return system, root, folder.split("://")[0] + "://"
+def _below(found: Iterable[Listed], hidden: bool) -> list[tuple[str, bool]]:
+    """The folders among `found`, and whether Spark passes over what is in them."""
+    return [(x.path, hidden or is_hidden_folder(x.name)) for x in found if x.is_folder]
 
 
-def _listed(system: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
-    return system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+def _wanted(x: Listed, hidden: bool, types: tuple[str, ...]) -> bool:
+    if x.is_folder or not (hidden or x.length == 0 or is_hidden(x.name)):
+        return False
+    return not types or any(fnmatchcase(x.name.lower(), f"*.{t}") for t in types)
 
 
-def _below(infos: list[fs.FileInfo], hidden: bool) -> list[tuple[str, bool]]:
-    """The folders among `infos`, and whether Spark passes over what is in them."""
-    folders = [i for i in infos if i.type == fs.FileType.Directory]
-    return [(i.path, hidden or is_hidden_folder(i.base_name)) for i in folders]
+def walked(
+    lister: ArrowFolder | HadoopFolder, folders: Iterable[tuple[str, bool, bool]], types: tuple[str, ...]
+) -> Iterator[Listed]:
+    """Omitted files of (folder, hidden, whether its own folders are walked too)."""
+    waiting = list(folders)
+    while waiting:
+        folder, hidden, deeper = waiting.pop()
+        found = list(lister.listed(folder))
+        yield from (x for x in found if _wanted(x, hidden, types))
+        if deeper:
+            waiting.extend((*below, True) for below in _below(found, hidden))
 
 
 class OmittedFiles(DataSource):
     """Path, time and length of omitted files below `path` whose type is among `types` (all if empty).
 
     The driver goes through the uppermost folders only; tasks walk the others.
+    Other options are those of the storage.
     """
 
     @classmethod
@@ -55,65 +78,76 @@ class OmittedFiles(DataSource):
         return "omitted_files"
 
     def schema(self) -> str:
-        return "path string, modificationTime timestamp, length bigint"
+        return SCHEMA
 
-    def reader(self, schema) -> "OmittedReader":
-        return OmittedReader(self.options["path"], self.options.get("types", ""))
+    def reader(self, schema) -> OmittedReader:
+        settings = {k: v for k, v in self.options.items() if k.startswith("fs.")}
+        folder = ArrowFolder(self.options["path"], settings)
+        return OmittedReader(folder, tuple(json.loads(self.options["types"])))
 
 
 class OmittedReader(DataSourceReader):
-    def __init__(self, folder: str, types: str):
-        self.folder, self.types = folder, [t for t in types.split(",") if t]
+    def __init__(self, folder: ArrowFolder, types: tuple[str, ...]):
+        self.folder, self.types = folder, types
 
     def partitions(self) -> list[InputPartition]:
         """Lists of (folder, hidden, whether its own folders are walked too)."""
-        system, root, _ = open_folder(self.folder)
-        seen, waiting = [], deque([(root, False)])
+        seen, waiting = [], deque([(self.folder.address, False)])
         while waiting and len(waiting) < FOLDERS:
             folder, hidden = waiting.popleft()
             seen.append((folder, hidden, False))
-            waiting.extend(_below(_listed(system, folder), hidden))
+            waiting.extend(_below(self.folder.listed(folder), hidden))
         found = seen + [(folder, hidden, True) for folder, hidden in waiting]
         step = len(found) // FOLDERS + 1
         return [InputPartition(found[a : a + step]) for a in range(0, len(found), step)]
 
-    def _wanted(self, info: fs.FileInfo, hidden: bool) -> bool:
-        if not info.is_file or not (hidden or info.size == 0 or is_hidden(info.base_name)):
-            return False
-        name = info.base_name.lower()
-        return not self.types or any(fnmatchcase(name, f"*.{t}") for t in self.types)
-
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        system, _, prefix = open_folder(self.folder)
-        waiting = list(partition.value)
-        while waiting:
-            folder, hidden, walked = waiting.pop()
-            infos = _listed(system, folder)
-            for info in infos:
-                if self._wanted(info, hidden):
-                    yield prefix + info.path, info.mtime, info.size
-            if walked:
-                waiting.extend((*below, True) for below in _below(infos, hidden))
-
-
-def _with_content(folder: str):
+        for x in walked(self.folder, partition.value, self.types):
+            yield x.path, x.modified, x.length, x.path
+
+
+def omitted_files(spark: SparkSession, address: str, types: tuple[str, ...] = ()) -> DataFrame:
+    """Omitted files below a whole address, unopened.
+
+    Storage that only Hadoop knows is listed by the driver; its hidden files can be
+    read if they are stored where Arrow reaches them.
+    """
+    known = arrow_folder(spark, address)
+    if known is not None:
+        spark.dataSource.register(OmittedFiles)
+        reader = spark.read.format("omitted_files").option("types", json.dumps(types))
+        return reader.options(**known.settings).load(address)
+    lister, rows, reached = HadoopFolder(spark, address), [], {}
+    for x in walked(lister, [(address, False, True)], types):
+        stored = lister.stored_at(x.path)
+        storage = storage_of(stored)
+        if storage not in reached:
+            reached[storage] = arrow_folder(spark, stored) is not None
+        rows.append((x.path, x.modified, x.length, stored if reached[storage] else None))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def with_contents(files: DataFrame) -> DataFrame:
+    """Omitted files with their contents, null for one that cannot be read; dealt out evenly."""
+    spark = files.sparkSession
+    storage = ArrowFolder("", storage_settings(spark))
+
+    def content(stored_at: str | None, length: int) -> bytes | None:
+        if not length:
+            return b""
+        try:
+            return stored_at and storage.read(stored_at)
+        except OSError:  # one bad file must not stop the batch
+            return None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _, prefix = open_folder(folder)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                with system.open_input_stream(row.column(0)[0].as_py().removeprefix(prefix)) as stream:
-                    content = pa.array([stream.read()], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [*row.columns, content], [*row.schema.names, "content"]
-                )
-
-    return run
-
+                found = content(row.column("stored_at")[0].as_py(), row.column("length")[0].as_py())
+                columns = [*row.columns, pa.array([found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*row.schema.names, "content"])
 
-def omitted_files(spark: SparkSession, folder: str, types: tuple[str, ...] = ()) -> DataFrame:
-    """Omitted files as rows like those of `binaryFile`; what is found is dealt out evenly to be read."""
-    spark.dataSource.register(OmittedFiles)
-    found = spark.read.format("omitted_files").option("types", ",".join(types)).load(folder)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(parts).mapInArrow(_with_content(folder), SCHEMA)
+    listed = files.select("path", "modificationTime", "length", "stored_at").repartition(parts)
+    return listed.mapInArrow(run, CONTENTS)
