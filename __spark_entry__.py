@@ -27,6 +27,7 @@ from folioseek import (  # noqa: E402
     search_documents,
     search_many,
     summarize_hits,
+    term_changes_over_time,
     term_trends,
 )
 from folioseek.functions.display import summary_lines
@@ -182,6 +183,12 @@ def _hit_summary(documents: DataFrame) -> DataFrame:
     return documents.select("file_path", F.expr(f"array_join({lines}, '|')").alias("summary"))
 
 
+def _next_page(index: DocumentIndex) -> DataFrame:
+    """The hits that follow the first page's last one."""
+    last = search_documents(index, "the thereou", 7).select("score", "file_path").tail(1)
+    return _scores(search_documents(index, "the thereou", 7, after=tuple(last[0])))
+
+
 def queries() -> dict[str, Query]:
     """One entry per operator of the survey's inventory."""
     found: dict[str, Query] = {
@@ -346,6 +353,7 @@ def queries() -> dict[str, Query]:
         "page_two": _on_index(
             lambda i: _scores(search_documents(i, "the thereou", page=2, page_size=7))
         ),
+        "page_after_hit": _on_index(_next_page),
         "folded_text_search": _on_index(
             lambda i: _scores(search_documents(i, "REAUTION mais reounds", ALL, fuzziness=0)),
             "pt",
@@ -359,6 +367,12 @@ def queries() -> dict[str, Query]:
             saved_index(spark, sf_dir), watch_list(spark), ALL
         ).select("query_id", "place", "file_path", "score"),
         "term_trends": _on_index(lambda i: term_trends(i)),
+        "term_changes_over_time": _on_index(
+            lambda i: term_changes_over_time(i).select(
+                F.unix_seconds("period").alias("period_epoch"),
+                "place", "term", "df", "docs", "df_before", "docs_before", "change",
+            )
+        ),
     }
     for module in _training_data_modules():
         found.update({name: _importable(query) for name, query in module.QUERIES.items()})

@@ -15,6 +15,7 @@ from folioseek.plans.search import (
     search_documents,
     search_many,
     summarize_hits,
+    term_changes_over_time,
     term_trends,
 )
 from folioseek.plans.store import Batch, DocumentIndex
@@ -38,5 +39,6 @@ __all__ = [
     "search_documents",
     "search_many",
     "summarize_hits",
+    "term_changes_over_time",
     "term_trends",
 ]

@@ -8,20 +8,15 @@ MAX_HIGHLIGHTS = 5
 SUMMARY_HIGHLIGHTS = 2
 SUMMARY_LENGTH = 100
 
-# Where sentences end, and what counts as white space at the ends
-# of a summary line.
-SENTENCE_GAP = r"([.!?])\s+"
-LINE_GAP = r"[\r\n]+"
+# What stands between sentences, and what counts as white space at the
+# ends of a summary line.
+SENTENCE_GAP = r"(?<=[.!?])\s+|[\r\n]+"
 SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
 
-_BREAK = r"\u0001"
-
 
 def sentences(x: str) -> str:
     """Split after . ! ? followed by white space, and at line ends."""
-    marked = f"regexp_replace({x}, r'{SENTENCE_GAP}', '$1{_BREAK}')"
-    lines = f"regexp_replace({marked}, r'{LINE_GAP}', '{_BREAK}')"
-    return f"filter(split({lines}, '{_BREAK}'), part -> length(part) > 0)"
+    return f"filter(split({x}, r'{SENTENCE_GAP}'), part -> length(part) > 0)"
 
 
 def highlights(

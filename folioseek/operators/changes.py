@@ -1,6 +1,6 @@
 """Which rows are new, changed or the latest."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def latest_versions(documents: DataFrame) -> DataFrame:
@@ -56,6 +56,10 @@ def new_or_modified_files(files: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
+def path_bucket(path: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+
 def replaced_versions(new_paths: DataFrame, current: DataFrame) -> DataFrame:
     """Current versions that a new batch with these paths replaces."""
     return current.select("file_path", F.col("batch_id").alias("old_batch_id")).join(

@@ -73,6 +73,18 @@ def ordering(sort_by: str, sort_order: str, keys: tuple[str, ...] = ()) -> list[
     return [*map(F.asc, keys), first, F.asc("file_path")]
 
 
+def after_hit(sort_by: str, sort_order: str, after: tuple) -> Column:
+    """Rows that follow a hit in an order; `after` holds its sort value and path."""
+    value, path = after
+    column = {"file_name": name_key, "file_path": path_key}.get(sort_by, lambda c: c)(F.col(sort_by))
+    later = F.col("file_path") > path
+    if value is None:
+        return column.isNull() & later
+    known = F.lit(value)
+    beyond = column < known if sort_order == "desc" else column > known
+    return beyond | column.isNull() | ((column == known) & later)
+
+
 def window_of(
     size: int | None, page: int | None, page_size: int | None
 ) -> tuple[int, int | None]:

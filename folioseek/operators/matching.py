@@ -14,7 +14,7 @@ from folioseek.functions.edits import (
 )
 from folioseek.functions.ranking import by_field, rarity
 from folioseek.functions.text import placed_terms
-from folioseek.operators.postings import term_bucket
+from folioseek.operators.postings import term_bucket, term_hash
 
 # Query words up to this number are compared as literals in one vocabulary scan.
 LITERAL_WORDS = 32
@@ -148,5 +148,13 @@ def boosts(expansions: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def with_bucket(terms: DataFrame, buckets: int) -> DataFrame:
-    return terms.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+def with_hash(terms: DataFrame) -> DataFrame:
+    """The hash that a term's bucket is made of."""
+    return terms.withColumn("term_hash", term_hash(F.col("term")))
+
+
+def with_buckets(terms: DataFrame, counts: set[int]) -> DataFrame:
+    """A row for each number of buckets that batches have, with the term's bucket."""
+    each = F.explode(F.array(*[F.lit(count) for count in sorted(counts)]))
+    rows = terms.withColumn("buckets", each)
+    return rows.withColumn("term_bucket", term_bucket(F.col("term"), F.col("buckets")))

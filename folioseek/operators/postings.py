@@ -4,14 +4,55 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from folioseek.functions.ranking import real, share_of_length
 from folioseek.functions.text import placed_terms
-from folioseek.schema import NAME_KEY_LENGTH, PATH_KEY_LENGTH, TEXT_FIELDS
+from folioseek.schema import BM25_K1, NAME_KEY_LENGTH, PATH_KEY_LENGTH, TEXT_FIELDS
+
+# Mean length that postings are ordered by; any would do, as scores are computed in full.
+USUAL_LENGTH = 300.0
 
 FILE_COLUMNS = ("file_name", "file_type", "file_size", "created_at", "modified_at")
 
 
-def term_bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+def term_hash(term: Column) -> Column:
+    return F.xxhash64(term)
+
+
+def term_bucket(term: Column, buckets: int | Column) -> Column:
+    return F.pmod(term_hash(term), F.lit(buckets)).cast("int")
+
+
+def clustered(postings: DataFrame, buckets: int, files: int) -> DataFrame:
+    """Postings in `files` ranges of bucket, term and weight; within a term the heaviest first.
+
+    A term of few documents lies in one file. One of many fills files of its own,
+    so that a search for the best can leave the light ones closed. Equal weights
+    are dealt out by path.
+    """
+    # Falls with the share of its weight that a document earns; lengths count as against a usual one.
+    order = F.expr(f"round({real(BM25_K1)} * ({share_of_length('dl', USUAL_LENGTH)}) / tf, 4)")
+    keys = ["term_bucket", "term", "field", "_order", "_spread"]
+    return (
+        postings.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
+        .withColumn("_order", order)
+        .withColumn("_spread", F.xxhash64("file_path"))
+        .repartitionByRange(files, *keys)
+        .sortWithinPartitions(*keys)
+        .drop("_order", "_spread")
+    )
+
+
+def describe_files(postings: DataFrame) -> DataFrame:
+    """A row per file and field of saved postings; each task sends as many rows as it read files."""
+    return postings.groupBy(
+        F.col("_metadata.file_name").alias("file"), "term_bucket", "field"
+    ).agg(
+        F.min("term").alias("first_term"),
+        F.max("term").alias("last_term"),
+        F.count(F.lit(1)).alias("rows"),
+        F.max("tf").alias("most_tf"),
+        F.min(F.col("dl") / F.col("tf")).alias("least_ratio"),
+    )
 
 
 def _term_runs(placed: str) -> str:

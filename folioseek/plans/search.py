@@ -19,7 +19,8 @@ from folioseek.functions.edits import check_fuzziness
 from folioseek.functions.ranking import by_field, rarity
 from folioseek.functions.text import placed_terms
 from folioseek.operators.clauses import match_clauses, match_phrase
-from folioseek.operators.filters import Filters, keep_if, ordering, top, window_of
+from folioseek.operators.bounds import heaviest_files, reaching_files
+from folioseek.operators.filters import Filters, after_hit, keep_if, ordering, top, window_of
 from folioseek.operators.matching import (
     LITERAL_WORDS,
     best_expansions,
@@ -27,10 +28,12 @@ from folioseek.operators.matching import (
     near_literals,
     near_words,
     query_words,
-    with_bucket,
+    with_buckets,
+    with_hash,
     words_of_each,
 )
 from folioseek.operators.postings import FILE_COLUMNS
+from folioseek.operators.ranks import with_places
 from folioseek.operators.scoring import (
     PLACED,
     VERSION,
@@ -39,9 +42,18 @@ from folioseek.operators.scoring import (
     score_postings,
     without_superseded,
 )
-from folioseek.operators.trends import frequent_terms
+from folioseek.operators.trends import changing_terms, frequent_terms
 from folioseek.plans.store import DocumentIndex, local_table
-from folioseek.schema import DEFAULT_SIZE, DOCUMENTS_TABLE, HIT_COLUMNS, TEXT_FIELDS
+from folioseek.schema import (
+    DEFAULT_SIZE,
+    DOCUMENTS_TABLE,
+    HIT_COLUMNS,
+    POSTINGS_SCHEMA,
+    TEXT_FIELDS,
+)
+
+# Files that hold a query's heaviest postings are read first if there are so many times more.
+FEW_FILES = 3
 
 # Equality tests per pushed filter: the reader keeps short lists exact. Longer
 # lists than the second number are pushed as the range of their values.
@@ -75,6 +87,7 @@ def search_documents(
     fuzziness: str | int = "AUTO",
     page: int | None = None,
     page_size: int | None = None,
+    after: tuple[float, str] | None = None,
     max_highlights: int | None = MAX_HIGHLIGHTS,
     max_expansions: int | None = None,
 ) -> DataFrame:
@@ -82,11 +95,15 @@ def search_documents(
 
     Every hit has a list of highlights, empty if only the name matched. A query
     without words, or a missing index, gives no rows. `max_expansions` keeps only
-    the nearest index terms of each word and field.
+    the nearest index terms of each word and field. `after` is the (score, path) of
+    a hit: those that follow it are returned, however deep, without the ones before.
     """
     offset, count = window_of(size, page, page_size)
     terms = query_terms(index, query_text, fuzziness, max_expansions)
-    scored = _scored(index, terms, Filters())
+    best = count and offset + count if after is None else None
+    scored = _scored(index, terms, Filters(), best)
+    if after is not None:
+        scored = scored.filter(after_hit("score", "desc", after))
     order = ordering("score", "desc")
     return _hits(index, scored, order, offset, count, terms, max_highlights)
 
@@ -109,13 +126,15 @@ def advanced_search(
     fuzziness: str | int = "AUTO",
     page: int | None = None,
     page_size: int | None = None,
+    after: tuple | None = None,
     max_highlights: int | None = MAX_HIGHLIGHTS,
     max_expansions: int | None = None,
 ) -> DataFrame:
     """Documents by optional text and filters, in a chosen order.
 
     The score is null unless it orders the result. Without text it is 0.0 under
-    filters and 1.0 without any; highlights are null where there are none.
+    filters and 1.0 without any; highlights are null where there are none. `after`
+    is the sort value and path of a hit that the returned ones follow.
     """
     offset, count = window_of(size, page, page_size)
     order = ordering(sort_by, sort_order)
@@ -134,7 +153,9 @@ def advanced_search(
     if query_text:
         terms = query_terms(index, query_text, fuzziness, max_expansions)
         if by_score:
-            found = _scored(index, terms, filters)
+            top_first = sort_order == "desc" and after is None
+            best = count and offset + count if top_first else None
+            found = _scored(index, terms, filters, best)
         else:
             carry = (sort_by,) if sort_by in FILE_COLUMNS else ()
             matched = _postings_of(index, terms, filters)
@@ -144,6 +165,8 @@ def advanced_search(
         found = found.select(
             *PLACED, "file_name", "file_type", "file_size", "created_at", "modified_at"
         ).withColumn("score", F.lit(0.0 if filters else 1.0))
+    if after is not None:
+        found = found.filter(after_hit(sort_by, sort_order, after))
     if not by_score:
         found = found.withColumn("score", F.lit(None).cast("double"))
     hits = _hits(index, found, order, offset, count, terms, max_highlights)
@@ -222,16 +245,26 @@ def search_many(
     """`search_documents` for a table of (query_id, query_text), all at once.
 
     Words meet the vocabulary, and terms the postings, in equi-joins, and each
-    query's top is cut in every task before the shuffle. How a join is done is
-    left to adaptive execution; no hits or terms reach the driver, only the words
-    if they are few.
+    query's top is cut in every task before the shuffle; without a size, hits are
+    dealt out by ranges of query and score to be ranked. Queries of the same words
+    are scored once. How a join is done is left to adaptive execution; no hits or
+    terms reach the driver, only the words if they are few.
     """
     check_fuzziness(fuzziness)
-    words = queries.select(
-        "query_id",
-        F.expr(f"explode({placed_terms('query_text', index.analyzer)})").alias("placed"),
-    ).groupBy("query_id", F.col("placed.term").alias("token"))
-    asked = words.agg(F.count(F.lit(1)).alias("repeats"))
+    placed = F.expr(f"explode({placed_terms('query_text', index.analyzer)})").alias("placed")
+    words = (
+        queries.select(F.col("query_id").alias("asked_as"), placed)
+        .groupBy("asked_as")
+        .agg(F.array_sort(F.collect_list("placed.term")).alias("bag"))
+    )
+    # One query stands for all of its words.
+    named = words.groupBy("bag").agg(F.min("asked_as").alias("query_id"))
+    members = words.join(named, "bag").select("asked_as", "query_id")
+    asked = (
+        named.select("query_id", F.explode("bag").alias("token"))
+        .groupBy("query_id", "token")
+        .agg(F.count(F.lit(1)).alias("repeats"))
+    )
     tokens = asked.select("token").distinct()
     # A few words are sought as literals, which spares the keys of the vocabulary.
     few = tokens.limit(LITERAL_WORDS + 1).collect()
@@ -242,14 +275,20 @@ def search_many(
     merged = len(index.batches) == 1
     expansions = best_expansions(near, index.per_field("n"), merged, max_expansions)
     terms = boosts(asked.join(expansions, "token"), ("query_id",))
-    terms = with_bucket(terms, index.term_buckets or 1)
-    matched = index.posting_versions().join(terms, ["term_bucket", "field", "term"])
+    buckets_of = index.buckets_of or {0: 1}
+    # Batches differ in their number of buckets; a term is sought in its bucket of each.
+    pairs = F.create_map(*[F.lit(x) for pair in buckets_of.items() for x in pair])
+    postings = index.posting_versions().withColumn("buckets", pairs[F.col("batch_id")])
+    sought = with_buckets(terms, set(buckets_of.values()))
+    matched = postings.join(sought, ["buckets", "term_bucket", "field", "term"])
     scored = score_documents(matched, index.per_field("avgdl"), ("query_id",))
     scored = without_superseded(scored, index.superseded())
-    best = Window.partitionBy("query_id").orderBy(*ordering("score", "desc"))
-    kept = scored.withColumn("place", F.row_number().over(best))
-    if size is not None:
-        kept = kept.filter(F.col("place") <= size)
+    order = ordering("score", "desc")
+    if size is None:
+        kept = with_places(scored, ["query_id"], order, index.saved_work)
+    else:
+        best = Window.partitionBy("query_id").orderBy(*order)
+        kept = scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= size)
     documents = index.document_versions().select("batch_id", *HIT_COLUMNS)
     # The terms of one query: as many as its words have near ones.
     shown = (
@@ -261,9 +300,10 @@ def search_many(
     return (
         documents.join(kept, list(VERSION))
         .join(shown, "query_id", "left")
+        .join(members, "query_id")
         .select(
-            "query_id",
-            "place",
+            F.col("asked_as").alias("query_id"),
+            F.col("place").cast("int").alias("place"),
             *HIT_COLUMNS,
             "score",
             F.when(F.col("_terms").isNotNull(), marked)
@@ -279,6 +319,14 @@ def term_trends(index: DocumentIndex, by: str = "file_type", top: int = 20) -> D
     return frequent_terms(content, by, top)
 
 
+def term_changes_over_time(
+    index: DocumentIndex, period: str = "week", top: int = 20
+) -> DataFrame:
+    """Content terms whose spread changed most against the period before."""
+    content = index.postings().filter(F.col("field") == "content")
+    return changing_terms(content, period, top)
+
+
 def summarize_hits(hits: DataFrame) -> DataFrame:
     """Hits with the short highlight lines that are shown to people."""
     return hits.withColumn("summary", F.expr(summary_lines("highlights")))
@@ -309,7 +357,7 @@ def query_terms(
         near = near_words(_vocabulary(index), tokens, fuzziness)
     merged = len(index.batches) == 1
     weighted = best_expansions(near, index.per_field("n"), merged, max_expansions)
-    return _summed(with_bucket(weighted, index.term_buckets).collect(), Counter(words))
+    return _summed(with_hash(weighted).collect(), Counter(words))
 
 
 def _vocabulary(index: DocumentIndex) -> DataFrame:
@@ -320,12 +368,12 @@ def _summed(expansions: list[Row], repeats: Counter) -> list[Row]:
     """One weight per field and term, over the query words that lead to it."""
     found: dict[tuple, float] = {}
     for row in sorted(expansions):
-        key = row["field"], row["term"], row["term_bucket"]
+        key = row["field"], row["term"], row["term_hash"]
         earned = repeats[row["token"]] * row["weight"] * row["idf"]
         found[key] = found.get(key, 0.0) + earned
     return [
-        Row(field=field, term=term, term_bucket=bucket, boost=boost)
-        for (field, term, bucket), boost in found.items()
+        Row(field=field, term=term, term_hash=number, boost=boost)
+        for (field, term, number), boost in found.items()
     ]
 
 
@@ -344,35 +392,71 @@ def _exact_terms(index: DocumentIndex, words: list[str], field: str) -> list[Row
     counted = found.groupBy("field", "term").agg(F.sum("df").alias("df")).filter("df > 0")
     idf = rarity(by_field(index.per_field("n")), "df")
     terms = counted.selectExpr("field", "term", f"{idf} AS boost")
-    return with_bucket(terms, index.term_buckets).collect()
+    return with_hash(terms).collect()
 
 
 # Documents
 
 
-def _postings_of(index: DocumentIndex, terms: list[Row], filters: Filters) -> DataFrame:
+def _postings_of(
+    index: DocumentIndex, terms: list[Row], filters: Filters, places: list[Row] | None = None
+) -> DataFrame:
     """Postings of known terms with their boost; file filters reach the reader.
 
-    The terms are a relation whose size Spark knows and joins by.
+    Only files whose span holds one of the terms are opened. The terms are a
+    relation whose size Spark knows and joins by.
     """
     spark = index.spark
     asked = local_table(spark, terms, _TERMS)
     if not terms:
-        return local_table(spark, [], index.posting_versions([]).schema).join(
-            asked, ["field", "term"]
-        )
-    buckets = {row["term_bucket"] for row in terms}
-    postings = index.posting_versions(buckets).filter(
+        return local_table(spark, [], POSTINGS_SCHEMA).join(asked, ["field", "term"])
+    if places is None:
+        places = _places_of(index, terms)
+    postings = index.posting_versions(places).filter(
         _one_of("term", sorted({row["term"] for row in terms}))
     )
     return keep_if(postings, filters.on_file()).join(asked, ["field", "term"])
 
 
-def _scored(index: DocumentIndex, terms: list[Row], filters: Filters) -> DataFrame:
-    """Scores count over the whole corpus; filters only leave documents out."""
+def _places_of(index: DocumentIndex, terms: list[Row]) -> list[Row]:
+    return index.posting_places({row["term"]: row["term_hash"] for row in terms})
+
+
+def _scored(
+    index: DocumentIndex, terms: list[Row], filters: Filters, best: int | None = None
+) -> DataFrame:
+    """Scores count over the whole corpus; filters only leave documents out.
+
+    With `best`, at least that many of the best documents are among the rows with
+    their scores; files that cannot hold one of them stay closed.
+    """
     score = score_postings if len(terms) == 1 else score_documents
-    matched = _postings_of(index, terms, filters)
-    return _current(index, score(matched, index.per_field("avgdl")), filters)
+    averages = index.per_field("avgdl")
+
+    def scored(places: list[Row] | None) -> DataFrame:
+        matched = _postings_of(index, terms, filters, places)
+        return _current(index, score(matched, averages), filters)
+
+    if best is None or not terms:
+        return scored(None)
+    places = _places_of(index, terms)
+    wanted, all_files = best, {*map(_file_of, places)}
+    while True:
+        first = heaviest_files(places, terms, averages, wanted)
+        if len({*map(_file_of, first)}) * FEW_FILES >= len(all_files):
+            return scored(places)
+        # One row: the score of the last hit if there were no other files.
+        found = scored(first).orderBy(F.desc("score")).limit(best).agg(
+            F.count(F.lit(1)).alias("hits"), F.min("score").alias("least")
+        ).first()
+        if found["hits"] == best:
+            return scored(reaching_files(places, terms, averages, found["least"]))
+        # Filters and replaced versions left too few of them.
+        wanted *= 4
+
+
+def _file_of(place: Row) -> tuple:
+    return place["batch_id"], place["term_bucket"], place["file"]
 
 
 def _current(index: DocumentIndex, rows: DataFrame, filters: Filters) -> DataFrame:

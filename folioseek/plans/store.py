@@ -6,31 +6,40 @@ leftovers, so a run that dies half way leaves nothing behind. Readers hold the
 batches that were committed when they opened the index. One writer at a time.
 """
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from folioseek.functions.text import check_analyzer
-from folioseek.operators.changes import latest_versions, one_per_path, replaced_versions
+from folioseek.operators.changes import (
+    latest_versions,
+    one_per_path,
+    path_bucket,
+    replaced_versions,
+)
 from folioseek.operators.postings import (
     FILE_COLUMNS,
     build_postings,
+    clustered,
     count_terms,
+    describe_files,
     document_lengths,
     field_counts,
     merge_term_counts,
-    term_bucket,
 )
 from folioseek.operators.scoring import without_superseded
 from folioseek.schema import (
     COMMIT_SCHEMA,
     DOCUMENTS_TABLE,
     FIELD_STATS_SCHEMA,
+    PATHS_SCHEMA,
     POSTINGS_SCHEMA,
+    POSTING_FILES_SCHEMA,
     SUPERSEDED_SCHEMA,
     TERM_STATS_SCHEMA,
     TEXT_FIELDS,
@@ -39,12 +48,15 @@ from folioseek.sources.records import stored_rows
 
 INDEXED, QUARANTINED = "indexed", "quarantined"
 
-# Text per term bucket that the number of buckets aims at, and its bounds.
+# Text per term bucket that a batch's number of buckets aims at, and its least.
 BUCKET_BYTES = 256 * 1024 * 1024
-FEWEST_BUCKETS, MOST_BUCKETS = 8, 4096
+FEWEST_BUCKETS = 8
+
+# Paths per bucket of a batch's paths.
+BUCKET_PATHS = 1_000_000
 
-# Parts, by path, that each bucket is shuffled in.
-BUCKET_SLICES = 4
+# Text per postings file.
+POSTINGS_BYTES = 64 * 1024 * 1024
 
 # Batches with less text than this per task slot are spread over all slots.
 SMALL_TASK_BYTES = 32 * 1024 * 1024
@@ -99,10 +111,9 @@ class DocumentIndex:
         return self._log[0]["analyzer"] if self._log else "standard"
 
     @property
-    def term_buckets(self) -> int | None:
-        """Buckets of the live postings: as asked for, else set by the first batch."""
-        asked = self._log[0]["term_buckets"] if self._log else None
-        return asked or (self._live[0]["term_buckets"] if self._live else None)
+    def buckets_of(self) -> dict[int, int]:
+        """Term buckets of each live batch: as asked for, else by its own text."""
+        return {row["batch_id"]: row["term_buckets"] for row in self._live}
 
     @cached_property
     def _live(self) -> list[Row]:
@@ -168,15 +179,37 @@ class DocumentIndex:
         known = self.documents().select(*columns)
         return known.unionByName(self._set_aside().select(*columns)) if failed else known
 
-    def posting_versions(self, buckets: Iterable[int] | None = None) -> DataFrame:
-        """Postings, of given term buckets only if the terms are known.
+    def posting_versions(self, places: Iterable[Row] | None = None) -> DataFrame:
+        """Postings of all live batches, or of some of their files only.
 
-        Naming the bucket folders means others are not even listed.
+        Files that are not named are not even listed.
         """
+        if places is None:
+            return self._read("postings", POSTINGS_SCHEMA, parts=f"batch_id={_any_of(self.batches)}")
+        paths = {
+            f"batch_id={row['batch_id']}/term_bucket={row['term_bucket']}/{row['file']}"
+            for row in places
+        }
+        if not paths:
+            return local_table(self.spark, [], POSTINGS_SCHEMA)
+        return self._read("postings", POSTINGS_SCHEMA, parts=sorted(paths))
+
+    def posting_places(self, hashes: Mapping[str, int]) -> list[Row]:
+        """Files and fields that may hold one of these terms, given with their hashes.
+
+        One row for each, of the terms' buckets only; the driver holds what it opens.
+        """
+        batches_of: dict[int, list[int]] = {}
+        for batch, buckets in self.buckets_of.items():
+            batches_of.setdefault(buckets, []).append(batch)
+        near = F.lit(False)
+        for buckets, batches in batches_of.items():
+            wanted = sorted({number % buckets for number in hashes.values()})
+            near |= F.col("batch_id").isin(batches) & F.col("term_bucket").isin(wanted)
         parts = f"batch_id={_any_of(self.batches)}"
-        if buckets is not None:
-            parts += f"/term_bucket={_any_of(buckets)}"
-        return self._read("postings", POSTINGS_SCHEMA, parts=parts)
+        rows = self._read("posting_files", POSTING_FILES_SCHEMA, parts=parts).filter(near).collect()
+        terms = sorted(hashes)
+        return [row for row in rows if _any_between(terms, row["first_term"], row["last_term"])]
 
     def postings(self) -> DataFrame:
         return without_superseded(self.posting_versions(), self.superseded())
@@ -228,6 +261,17 @@ class DocumentIndex:
 
     # Writing
 
+    def saved_work(self, rows: DataFrame) -> DataFrame:
+        """Rows of a search, written where all executors reach them.
+
+        Below spark.checkpoint.dir, or the index if that is unset; nothing else
+        refers to them.
+        """
+        shared = self.spark.conf.get("spark.checkpoint.dir", None) or self.path
+        folder = f"{shared.rstrip('/')}/_searches/{uuid4().hex}"
+        rows.write.parquet(folder)
+        return self.spark.read.schema(rows.schema).parquet(folder)
+
     def append(
         self,
         documents: DataFrame,
@@ -299,32 +343,32 @@ class DocumentIndex:
         slots = self.spark.sparkContext.defaultParallelism
         spread = good.repartition(slots) if text_bytes <= slots * SMALL_TASK_BYTES else good
 
-        buckets = self._log[0]["term_buckets"] if mode == "overwrite" else self.term_buckets
-        if buckets is None:
-            wanted = text_bytes // BUCKET_BYTES
-            buckets = max(FEWEST_BUCKETS, min(MOST_BUCKETS, wanted))
-        # Building is narrow; this is its only shuffle. Slicing by path salts every
-        # bucket, and rebalancing lets adaptive execution split further what a very
-        # frequent term fills. A batch too small to keep the cluster busy is spread
-        # out first.
+        buckets = self._log[0]["term_buckets"] or max(FEWEST_BUCKETS, text_bytes // BUCKET_BYTES)
+        # Building is narrow; this is its only shuffle. A batch too small to keep the
+        # cluster busy is spread out first.
+        built = build_postings(
+            spread, self.analyzer, keep=("file_path", *FILE_COLUMNS, "file_part")
+        )
+        files = max(slots, text_bytes // POSTINGS_BYTES)
+        save(clustered(built, buckets, files), "postings", "term_bucket")
         save(
-            build_postings(
-                spread, self.analyzer, keep=("file_path", *FILE_COLUMNS, "file_part")
-            )
-            .withColumn("term_bucket", term_bucket(F.col("term"), buckets))
-            .withColumn("slice", F.pmod(F.xxhash64("file_path"), F.lit(BUCKET_SLICES)))
-            .hint("rebalance", "term_bucket", "slice")
-            .drop("slice")
-            .sortWithinPartitions("term_bucket", "term", "field"),
-            "postings",
-            "term_bucket",
+            describe_files(saved("postings", POSTINGS_SCHEMA)).orderBy("term_bucket", "first_term"),
+            "posting_files",
         )
         counted = count_terms(saved("postings", POSTINGS_SCHEMA))
 
+        path_buckets = max(1, indexed // BUCKET_PATHS)
+        save(
+            good.select("file_path")
+            .withColumn("path_bucket", path_bucket(F.col("file_path"), path_buckets))
+            .hint("rebalance", "path_bucket")
+            .sortWithinPartitions("path_bucket", "file_path"),
+            "paths",
+            "path_bucket",
+        )
         replaced = 0
         if mode == "append" and self.batches and indexed:
-            current = self.documents().select("file_path", "batch_id")
-            save(replaced_versions(good, current), "superseded")
+            save(self._replaced_by(good), "superseded")
             gone = saved("superseded", SUPERSEDED_SCHEMA)
             replaced = gone.count()
             if replaced:
@@ -354,6 +398,7 @@ class DocumentIndex:
             token=token,
             analyzer=self.analyzer,
             term_buckets=buckets,
+            path_buckets=path_buckets,
             indexed=indexed,
             quarantined=quarantined,
             superseded=replaced,
@@ -362,6 +407,26 @@ class DocumentIndex:
         failed = after.quarantine().filter(F.col("batch_id") == batch_id)
         return Batch(batch_id, indexed, quarantined, failed)
 
+    def _replaced_by(self, documents: DataFrame) -> DataFrame:
+        """Current versions of these documents' paths; other buckets of paths are not listed."""
+        batches_of: dict[int, list[int]] = {}
+        for row in self._live:
+            if row["indexed"]:
+                batches_of.setdefault(row["path_buckets"], []).append(row["batch_id"])
+        known = local_table(self.spark, [], PATHS_SCHEMA)
+        for buckets, batches in batches_of.items():
+            own = documents.select(path_bucket(F.col("file_path"), buckets).alias("bucket"))
+            # At most a number for each bucket: one for a million paths.
+            touched = [row["bucket"] for row in own.distinct().collect()]
+            parts = f"batch_id={_any_of(batches)}/path_bucket={_any_of(touched)}"
+            known = known.unionByName(self._read("paths", PATHS_SCHEMA, parts=parts))
+        versions, gone = replaced_versions(documents, known), self.superseded()
+        if gone is None:
+            return versions
+        return versions.join(
+            gone.select("file_path", "old_batch_id"), ["file_path", "old_batch_id"], "left_anti"
+        )
+
     def _nothing(self) -> Batch:
         return Batch(None, 0, 0, self.quarantine().limit(0))
 
@@ -378,11 +443,17 @@ class DocumentIndex:
         return f"{self.path}/{table}/batch_id={batch_id}"
 
     def _read(
-        self, table: str, schema: T.StructType, kind: str = "parquet", parts: str = ""
+        self,
+        table: str,
+        schema: T.StructType,
+        kind: str = "parquet",
+        parts: str | list[str] = "",
     ) -> DataFrame:
         folder = f"{self.path}/{table}"
         reader = self.spark.read.format(kind).schema(schema).option("basePath", folder)
         try:
+            if isinstance(parts, list):
+                return reader.load([f"{folder}/{part}" for part in parts])
             return reader.load(f"{folder}/{parts}" if parts else folder)
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
@@ -410,6 +481,12 @@ def _with_part(documents: DataFrame) -> DataFrame:
     return documents.withColumn("file_part", number.cast("int"))
 
 
+def _any_between(values: list[str], least: str, most: str) -> bool:
+    """Whether one of some sorted values lies in a range; compared as UTF-8, like Spark does."""
+    low, high = least.encode(), most.encode()
+    return any(low <= value.encode() <= high for value in values)
+
+
 def _any_of(values: Iterable[int]) -> str:
     """Folder glob for some numbers; -1 matches none."""
     return "{" + ",".join(str(value) for value in sorted(set(values)) or [-1]) + "}"

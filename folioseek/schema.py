@@ -71,6 +71,22 @@ POSTINGS_SCHEMA = T.StructType(
     ]
 )
 
+# What each postings file holds of a field: its first and last term, and what bounds
+# the weight of its postings from above.
+POSTING_FILES_SCHEMA = T.StructType(
+    [
+        T.StructField("file", T.StringType()),
+        T.StructField("field", T.StringType()),
+        T.StructField("first_term", T.StringType()),
+        T.StructField("last_term", T.StringType()),
+        T.StructField("rows", T.LongType()),
+        T.StructField("most_tf", T.LongType()),
+        T.StructField("least_ratio", T.DoubleType()),
+        T.StructField("term_bucket", T.IntegerType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
+
 # Signed changes per batch: a replaced document takes its counts back out.
 TERM_STATS_SCHEMA = T.StructType(
     [
@@ -93,6 +109,15 @@ FIELD_STATS_SCHEMA = T.StructType(
     ]
 )
 
+# The paths of a batch, by hash: what a later batch looks its own up in.
+PATHS_SCHEMA = T.StructType(
+    [
+        T.StructField("file_path", T.StringType()),
+        T.StructField("path_bucket", T.IntegerType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
+
 # Document versions that a later batch replaced; `batch_id` is the replacing one.
 SUPERSEDED_SCHEMA = T.StructType(
     [
@@ -109,6 +134,7 @@ COMMIT_SCHEMA = T.StructType(
         T.StructField("token", T.StringType()),
         T.StructField("analyzer", T.StringType()),
         T.StructField("term_buckets", T.IntegerType()),
+        T.StructField("path_buckets", T.IntegerType()),
         T.StructField("indexed", T.LongType()),
         T.StructField("quarantined", T.LongType()),
         T.StructField("superseded", T.LongType()),

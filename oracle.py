@@ -404,6 +404,7 @@ FROM lengths GROUP BY field""",
             "ORDER BY modified_at DESC, file_path LIMIT 15",
         ),
         "page_two": search("the thereou", tail=f"{BEST} LIMIT 7 OFFSET 7"),
+        "page_after_hit": search("the thereou", tail=f"{BEST} LIMIT 7 OFFSET 7"),
         "folded_text_search": search("REAUTION mais reounds", fuzziness=0, analyzer="pt"),
         "search_many": highlighted(
             watched, tail=f"{placed}, coalesce(found, '') AS {{name}} "
@@ -417,4 +418,36 @@ counted AS (
 SELECT file_type, term, df, tf, CAST(row_number() OVER (
   PARTITION BY file_type ORDER BY df DESC, tf DESC, term) AS INTEGER) AS place
 FROM counted QUALIFY place <= 20""",
+        "term_changes_over_time": f"""WITH {corpus()},
+dated AS (
+  SELECT date_trunc('week', modified_at) AS period, file_path, term
+  FROM postings JOIN docs USING (file_path) WHERE field = 'content'),
+totals AS (SELECT period, count(DISTINCT file_path) AS docs FROM dated GROUP BY period),
+periods AS (
+  SELECT *, row_number() OVER (ORDER BY period) AS turn,
+    lag(docs) OVER (ORDER BY period) AS docs_before FROM totals),
+counted AS (
+  SELECT turn, term, count(*) AS df FROM dated JOIN periods USING (period) GROUP BY ALL),
+asked AS (SELECT DISTINCT turn + step AS turn, term FROM counted, (VALUES (0), (1)) AS s (step)),
+pairs AS (
+  SELECT p.*, term, coalesce(now.df, 0) AS df, coalesce(old.df, 0) AS df_before
+  FROM periods p JOIN asked USING (turn)
+  LEFT JOIN counted now USING (turn, term)
+  LEFT JOIN (SELECT turn + 1 AS turn, term, df FROM counted) old USING (turn, term)
+  WHERE docs_before IS NOT NULL),
+cells AS (
+  SELECT *, df + df_before AS yes, docs + docs_before - df - df_before AS no,
+    CAST(docs + docs_before AS DOUBLE) AS everything FROM pairs),
+changes AS (
+  SELECT *, round(2 * (
+    if(df = 0, 0, df * ln(df / (docs * yes / everything)))
+    + if(df_before = 0, 0, df_before * ln(df_before / (docs_before * yes / everything)))
+    + if(docs = df, 0, (docs - df) * ln((docs - df) / (docs * no / everything)))
+    + if(docs_before = df_before, 0, (docs_before - df_before)
+         * ln((docs_before - df_before) / (docs_before * no / everything)))), 6) AS change
+  FROM cells)
+SELECT CAST(epoch(period) AS BIGINT) AS period_epoch, CAST(row_number() OVER (
+  PARTITION BY period ORDER BY change DESC, term) AS INTEGER) AS place,
+  term, df, docs, df_before, docs_before, change
+FROM changes QUALIFY place <= 20""",
     }

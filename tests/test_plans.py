@@ -4,12 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import as_documents
-from folioseek import DocumentIndex, advanced_search, index_documents, search_documents
+from folioseek import DocumentIndex, advanced_search, index_documents, search_documents, search_many
 from folioseek.operators.changes import latest_versions, one_per_path
-from folioseek.operators.filters import Filters
+from folioseek.operators.filters import Filters, after_hit, ordering, top
 from folioseek.operators.matching import near_literals
 from folioseek.operators.postings import build_postings
-from folioseek.plans import search
+from folioseek.operators.ranks import with_places
+from folioseek.plans import search, store
 from folioseek.sources.files import file_records, scan_folder
 from folioseek.sources.records import stored_rows
 
@@ -52,11 +53,64 @@ def test_search_shuffles_once_and_pushes_terms_and_filters(index):
     assert "positions" not in next(x for x in text.splitlines() if x.startswith("ReadSchema"))
 
 
-def test_search_lists_only_the_buckets_of_its_terms(index):
-    terms = search.query_terms(index, "common", 0)
-    buckets = {row["term_bucket"] for row in terms}
-    files = search._postings_of(index, terms, Filters()).inputFiles()
-    assert files and {int(f.split("term_bucket=")[1].split("/")[0]) for f in files} == buckets
+@pytest.fixture(scope="module")
+def clustered(spark, tmp_path_factory):
+    """A larger index: a frequent word, with all weights, and many rare ones."""
+    folder = str(tmp_path_factory.mktemp("clustered"))
+    rows = [
+        (f"/c/{n}.csv", "csv", " ".join(["the"] * (n % 23 + 1) + [f"rare{n}"] + ["filler"] * (n * 7 % 61)))
+        for n in range(600)
+    ]
+    DocumentIndex.create(spark, folder, term_buckets=4)
+    least = store.POSTINGS_BYTES
+    store.POSTINGS_BYTES = 1000
+    index_documents(DocumentIndex(spark, folder), as_documents(spark, rows), unique_paths=True)
+    index_documents(DocumentIndex(spark, folder), as_documents(spark, rows[:40]), unique_paths=True)
+    store.POSTINGS_BYTES = least
+    return DocumentIndex(spark, folder)
+
+
+def opened(rows):
+    return {f for f in rows.inputFiles() if "/postings/" in f}
+
+
+def test_rare_term_opens_one_file_and_a_frequent_one_spreads(clustered):
+    everything = opened(clustered.posting_versions())
+    rare = opened(scored(clustered, "rare17", 0))
+    frequent = opened(scored(clustered, "the", 0))
+    # One for each batch; a border between files may fall on the term.
+    assert 1 <= len(rare) <= 3 and len(everything) > 20
+    assert len(frequent) >= 6
+    spans = clustered.posting_places({"the": clustered.spark.sql("SELECT xxhash64('the')").first()[0]})
+    assert {r["file"] for r in spans} == {f.rsplit("/", 1)[1] for f in frequent}
+
+
+@pytest.mark.parametrize("text", ["the", "the rare17", "the filler", "the nothing"])
+@pytest.mark.parametrize("size", [1, 10, 130, 900])
+def test_top_opens_no_file_that_cannot_hold_a_hit(clustered, text, size):
+    every = search_documents(clustered, text, None, fuzziness=0).select("file_path", "score").collect()
+    hits = search_documents(clustered, text, size, fuzziness=0).select("file_path", "score").collect()
+    assert hits == every[:size]
+    terms = search.query_terms(clustered, text, 0)
+    files = opened(search._scored(clustered, terms, Filters(), size))
+    whole = opened(search._scored(clustered, terms, Filters()))
+    assert files <= whole
+    if text == "the" and size <= 10:
+        assert 2 * len(files) < len(whole)
+
+
+def test_batches_with_other_numbers_of_buckets(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    DocumentIndex.create(spark, folder)
+    for n, most in enumerate((10**9, 10)):
+        monkeypatch.setattr(store, "BUCKET_BYTES", most)
+        index_documents(DocumentIndex(spark, folder), as_documents(spark, ROWS[20 * n : 20 * n + 20]))
+    index = DocumentIndex(spark, folder)
+    assert len(set(index.buckets_of.values())) == 2
+    assert search_documents(index, "common", None, fuzziness=0).count() == 40
+    queries = spark.createDataFrame([(1, "common"), (2, "word3 word33")], "query_id int, query_text string")
+    found = search_many(index, queries, None, fuzziness=0).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in found} == {1: 40, 2: 2}
 
 
 def test_hits_are_fetched_by_pushed_paths(index):
@@ -106,13 +160,61 @@ def test_repeated_paths_are_cut_before_the_shuffle(spark, choose):
     assert text.count("WindowGroupLimit") >= 2
 
 
-def test_a_word_in_every_document_spreads_over_files(spark, tmp_path):
-    DocumentIndex.create(spark, str(tmp_path), term_buckets=1)
-    # So little data would be put into one file by adaptive execution.
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    index_documents(DocumentIndex(spark, str(tmp_path)), as_documents(spark, ROWS))
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    index = DocumentIndex(spark, str(tmp_path))
-    common = index.posting_versions().filter("term = 'common'")
-    assert common.count() == len(ROWS)
-    assert common.select(F.input_file_name()).distinct().count() > 1
+def test_append_lists_only_the_path_buckets_of_its_paths(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+    monkeypatch.setattr(store, "BUCKET_PATHS", 5)
+    DocumentIndex.create(spark, folder)
+    index_documents(DocumentIndex(spark, folder), as_documents(spark, ROWS), unique_paths=True)
+    index = DocumentIndex(spark, folder)
+    new = as_documents(spark, [(*ROWS[7][:2], "changed"), ("/t/new.csv", "csv", "more")])
+    listed = {f for f in index._replaced_by(new).inputFiles() if "/paths/" in f}
+    everything = {f for f in index._read("paths", store.PATHS_SCHEMA).inputFiles()}
+    assert len(everything) == 8 and 1 <= len(listed) <= 2
+    assert index_documents(index, new).indexed == 2
+    assert DocumentIndex(spark, folder).count_documents() == len(ROWS) + 1
+    # Once more, when the path has a replaced version.
+    again = as_documents(spark, [(*ROWS[7][:2], "again"), (*ROWS[9][:2], "again")])
+    index_documents(DocumentIndex(spark, folder), again)
+    after = DocumentIndex(spark, folder)
+    assert after.count_documents() == after.documents().count() == len(ROWS) + 1
+    assert search_documents(after, "again", None, fuzziness=0).count() == 2
+    assert search_documents(after, "changed", None, fuzziness=0).count() == 0
+
+
+def test_pages_after_a_hit_skip_nothing(clustered):
+    every = search_documents(clustered, "the filler", None, fuzziness=0).select("score", "file_path").collect()
+    last = every[399]
+    page = search_documents(clustered, "the filler", 10, fuzziness=0, after=tuple(last))
+    assert page.select("score", "file_path").collect() == every[400:410]
+    found = search._scored(clustered, search.query_terms(clustered, "the filler", 0), Filters())
+    cut = top(found.filter(after_hit("score", "desc", tuple(last))), ordering("score", "desc"), 0, 10)
+    assert "Offset" not in plan(cut) and "TakeOrderedAndProject" in plan(cut)
+
+
+@pytest.mark.parametrize("sort_by", ["file_size", "file_type", "modified_at", "file_name"])
+@pytest.mark.parametrize("sort_order", ["asc", "desc"])
+def test_pages_after_a_hit_in_any_order(clustered, sort_by, sort_order):
+    """Also where the sort value is missing, as all times here are."""
+    sort = {"sort_by": sort_by, "sort_order": sort_order}
+    every = advanced_search(clustered, None, "csv", size=None, **sort).select(sort_by, "file_path").collect()
+    after = advanced_search(clustered, None, "csv", size=5, after=tuple(every[99]), **sort)
+    assert after.select(sort_by, "file_path").collect() == every[100:105]
+
+
+def test_places_without_one_task_for_a_query(spark, tmp_path):
+    rows = [(q, n * 37 % 11 / 4, f"/p{n}") for q in (1, 2) for n in range(3000 if q == 1 else 5)]
+    table = spark.createDataFrame(rows, "query_id int, score double, file_path string").repartition(5)
+    saves = []
+
+    def save(found):
+        saves.append(plan(found))
+        folder = str(tmp_path / str(len(saves)))
+        found.write.parquet(folder)
+        return spark.read.parquet(folder)
+
+    placed = with_places(table, ["query_id"], ordering("score", "desc"), save)
+    wanted = {}
+    for q, score, path in sorted(rows, key=lambda r: (r[0], -r[1], r[2])):
+        wanted[q, path] = sum(q == other for other, _ in wanted) + 1
+    assert {(r.query_id, r.file_path): r.place for r in placed.collect()} == wanted
+    assert "rangepartitioning(query_id" in saves[0] and "Window" not in saves[0]

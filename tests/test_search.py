@@ -222,6 +222,12 @@ def test_search_many_equals_single_searches(spark, index):
         for row in search_documents(index, text, 3).collect()
     ]
     assert found() == expected
+    # Queries of the same words, in any order, have the same hits.
+    twins = queries.unionByName(queries.selectExpr("query_id + 10 AS query_id", "reverse(split(query_text, ' ')) AS t")
+        .selectExpr("query_id", "array_join(t, ' ') AS query_text"))
+    both = search_many(index, twins, None).collect()
+    ranked = {q: [(r["place"], r["file_path"], r["score"]) for r in both if r["query_id"] == q] for q in (1, 11)}
+    assert sorted(ranked[1]) == sorted(ranked[11]) and len(ranked[1]) > 1
     marked = {(r["query_id"], r["file_path"]): r["highlights"] for r in search_many(index, queries).collect()}
     for n, text in texts.items():
         for row in search_documents(index, text).collect():
@@ -266,3 +272,9 @@ def test_query_shapes_of_the_original_scripts(index):
         index, "cats dogs", "pdf", 1000, sort_by="file_name", sort_order="desc"
     )
     assert paths(hits) == ["/b/long.pdf"]
+
+
+def test_control_characters_stay_in_highlights(make_index):
+    index = make_index([("/u/a.csv", "csv", "one\x01two word here. Next\x01 line\nword. ")])
+    (hit,) = search_documents(index, "word", fuzziness=0).collect()
+    assert hit["highlights"] == ["one\x01two <em>word</em> here.", "<em>word</em>."]
