@@ -6,8 +6,12 @@ characters.
 
 from folioseek.functions import quoted, strings
 
-# Letters at the start of a word that deletion keys are made from.
-KEY_PREFIX = 12
+# Letters at the start of a word that deletion keys are made from, and those at the
+# end of terms of LONG_TERM letters and more, between which two letters lie at least:
+# no edit counts for both.
+KEY_PREFIX, KEY_SUFFIX, LONG_TERM = 12, 6, 20
+# Stands between them; no word holds it.
+_GAP = " "
 
 # Words shorter than the first bound take no edit under "AUTO",
 # those shorter than the second take one, all others two.
@@ -90,6 +94,24 @@ def near_literal(word: str, x: str, length: str, most: int) -> str:
     return f"if({test}, struct({token} AS token, {edits} AS edits), NULL)"
 
 
+def _deletions(s: str) -> tuple[str, str, str]:
+    """Words left after deleting none, one or two letters of a short word."""
+    last = f"char_length({s})"
+    one = (
+        f"if({last} > 0, transform(sequence(1, {last}), "
+        f"i -> concat(left({s}, i - 1), substring({s}, i + 1))), {_NONE})"
+    )
+    two = (
+        f"if({last} > 1, flatten(transform(sequence(1, {last} - 1), "
+        f"i -> transform(sequence(i + 1, {last}), j -> concat("
+        f"left({s}, i - 1), substring({s}, i + 1, j - i - 1), substring({s}, j + 1))))), {_NONE})"
+    )
+    return f"array({s})", one, two
+
+
+_NONE = "cast(array() AS array<string>)"
+
+
 def deletion_keys(x: str, most: str) -> str:
     """Words left after deleting up to `most` (0-2) letters near the start.
 
@@ -98,18 +120,44 @@ def deletion_keys(x: str, most: str) -> str:
     cutting both to a prefix only shortens that word. At most 79 keys a word;
     a word with repeated letters may give a key more than once.
     """
-    none = "cast(array() AS array<string>)"
-    last = "char_length(s)"
-    one = (
-        f"if({most} >= 1 AND {last} > 0, transform(sequence(1, {last}), "
-        f"i -> concat(left(s, i - 1), substring(s, i + 1))), {none})"
+    none, one, two = _deletions("s")
+    return (
+        f"transform(array(left({x}, {KEY_PREFIX})), s -> concat({none}, "
+        f"if({most} >= 1, {one}, {_NONE}), if({most} >= 2, {two}, {_NONE})))[0]"
     )
-    two = (
-        f"if({most} >= 2 AND {last} > 1, flatten(transform(sequence(1, {last} - 1), "
-        f"i -> transform(sequence(i + 1, {last}), j -> concat("
-        f"left(s, i - 1), substring(s, i + 1, j - i - 1), substring(s, j + 1))))), {none})"
+
+
+def _long_keys(x: str, most: str) -> str:
+    """Keys of a long word: its beginning and its end, after up to `most` deletions in both.
+
+    An edit falls into the beginning, the end or between them, so that the
+    deletions of two near words share a key that says something of both.
+    """
+    heads, tails = _deletions("p"), _deletions("q")
+
+    def pairs(head: int, tail: int) -> str:
+        return f"flatten(transform({heads[head]}, a -> transform({tails[tail]}, b -> concat(a, '{_GAP}', b))))"
+
+    keys = (
+        f"concat({pairs(0, 0)}, if({most} >= 1, concat({pairs(1, 0)}, {pairs(0, 1)}), {_NONE}), "
+        f"if({most} >= 2, concat({pairs(2, 0)}, {pairs(1, 1)}, {pairs(0, 2)}), {_NONE}))"
     )
+    tail = f"transform(array(right({x}, {KEY_SUFFIX})), q -> {keys})[0]"
+    return f"transform(array(left({x}, {KEY_PREFIX})), p -> {tail})[0]"
+
+
+def saved_keys(x: str) -> str:
+    """Keys of an index term, for any fuzziness; each once, and at most 172."""
+    return f"array_distinct(if(char_length({x}) >= {LONG_TERM}, {_long_keys(x, '2')}, {deletion_keys(x, '2')}))"
+
+
+def sought_keys(x: str, most: str) -> str:
+    """Keys under which the terms within `most` edits of a word are saved; each once.
+
+    A word whose length is near that of long terms looks under both kinds.
+    """
     return (
-        f"transform(array(left({x}, {KEY_PREFIX})), "
-        f"s -> concat(array(s), {one}, {two}))[0]"
+        f"array_distinct(concat("
+        f"if(char_length({x}) - {most} < {LONG_TERM}, {deletion_keys(x, most)}, {_NONE}), "
+        f"if(char_length({x}) + {most} >= {LONG_TERM}, {_long_keys(x, most)}, {_NONE})))"
     )

@@ -2,15 +2,16 @@
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from folioseek.functions import quoted
 from folioseek.functions.edits import (
     allowed_edits,
     allowed_edits_of,
-    deletion_keys,
     edits_between,
     near_literal,
+    saved_keys,
+    sought_keys,
 )
 from folioseek.functions.ranking import by_field, rarity
 from folioseek.functions.text import placed_terms
@@ -19,8 +20,8 @@ from folioseek.operators.postings import term_bucket, term_hash
 # Query words up to this number are compared as literals in one vocabulary scan.
 LITERAL_WORDS = 32
 
-# Words up to this number are broadcast, with at most 79 short keys each.
-BROADCAST_WORDS = 2000
+# Folders of saved deletion keys; each holds as many files as its keys need.
+KEY_BUCKETS = 64
 
 
 def query_words(spark: SparkSession, text: str, analyzer: str = "standard") -> list[Row]:
@@ -67,47 +68,51 @@ def near_literals(
     )
 
 
+def key_bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def term_keys(terms: DataFrame) -> DataFrame:
+    """The deletion keys of distinct terms (`term`), with the buckets they are saved in."""
+    keys = terms.select("term", F.expr(f"explode({saved_keys('term')})").alias("key"))
+    return keys.withColumn("key_bucket", key_bucket(F.col("key")))
+
+
 def near_words(
-    vocabulary: DataFrame, tokens: DataFrame, fuzziness: str | int = "AUTO"
+    vocabulary: DataFrame,
+    tokens: DataFrame,
+    fuzziness: str | int = "AUTO",
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """As `near_literals` for a table of distinct words (`token`).
 
     Words and terms meet in an equi-join on shared deletion keys, so only likely
-    pairs are formed; the exact test follows and each pair is kept once. Rows of
-    `vocabulary` must differ from one another; it needs `term_len`.
+    pairs are formed; the exact test follows and each pair is kept once. `keys` are
+    the saved `term_keys` of the vocabulary, and are made here if not given.
     """
     columns = vocabulary.columns
-    # One row: how many words there are and the lengths worth reading.
-    asked = tokens.agg(
-        F.count(F.lit(1)).alias("words"),
-        F.min(F.char_length("token")).alias("least"),
-        F.max(F.char_length("token")).alias("most"),
-    ).first()
-    slack = 0 if fuzziness == 0 else 2
-    vocabulary = vocabulary.filter(
-        F.col("term_len").between((asked["least"] or 0) - slack, (asked["most"] or 0) + slack)
-    )
-    few = asked["words"] <= BROADCAST_WORDS
     if fuzziness == 0:
         same = F.col("term") == F.col("token")
-        near = vocabulary.join(F.broadcast(tokens) if few else tokens, same)
-        return near.select(*columns, "token", F.lit(0).alias("edits"))
+        return vocabulary.join(tokens, same).select(*columns, "token", F.lit(0).alias("edits"))
+    if keys is None:
+        # One row: the lengths worth making keys for.
+        span = tokens.agg(F.min(F.char_length("token")), F.max(F.char_length("token"))).first()
+        near = F.col("term_len").between((span[0] or 0) - 2, (span[1] or 0) + 2)
+        keys = term_keys(vocabulary.filter(near).select("term").distinct())
     wanted = tokens.select("token", F.expr(allowed_edits("token", fuzziness)).alias("most"))
-    left = wanted.select("*", F.expr(f"explode({deletion_keys('token', 'most')})").alias("key"))
-    # A word that allows two edits has six letters, so its terms have four.
-    reach = "if(char_length(term) < 4, 1, 2)" if fuzziness == "AUTO" else str(fuzziness)
-    right = vocabulary.select(
-        "*", F.expr(f"explode({deletion_keys('term', reach)})").alias("key")
-    )
-    # Catalyst sizes the exploded vocabulary by its file and would broadcast it.
-    left = F.broadcast(left) if few else left.hint("merge")
-    return (
-        right.join(left, "key")
+    sought = wanted.select(
+        "*", F.expr(f"explode({sought_keys('token', 'most')})").alias("key")
+    ).withColumn("key_bucket", key_bucket(F.col("key")))
+    # Catalyst sizes exploded words by their files and would broadcast either side.
+    pairs = (
+        keys.join(sought.hint("merge"), ["key_bucket", "key"])
         .filter("abs(char_length(term) - char_length(token)) <= most")
-        .select(*columns, "token", F.expr(edits_between("token", "term", "most")).alias("edits"))
-        .filter("edits IS NOT NULL")
+        .select("token", "term", "most")
         .distinct()
+        .select("token", "term", F.expr(edits_between("token", "term", "most")).alias("edits"))
+        .filter("edits IS NOT NULL")
     )
+    return vocabulary.join(pairs, "term").select(*columns, "token", "edits")
 
 
 def best_expansions(

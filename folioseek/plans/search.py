@@ -2,9 +2,9 @@
 
 A search first finds its top hits from postings alone and then fetches just
 those documents. What reaches the driver on the way is the query's words, the
-index terms near them, and the hits of a search with a `size`, which runs when
-it is called. All hits (`size=None`) are joined, and the result is lazy. A
-table of queries is handled by joins throughout.
+index terms near them, and the hits of a search for up to COLLECTED_HITS, which
+runs when it is called. More hits are joined, and the result is lazy. A table of
+queries is handled by joins throughout.
 """
 
 from collections import Counter
@@ -52,6 +52,9 @@ from folioseek.schema import (
     TEXT_FIELDS,
 )
 
+# Hits whose places the driver holds, so that only their files are opened; more are joined.
+COLLECTED_HITS = 1000
+
 # Files that hold a query's heaviest postings are read first if there are so many times more.
 FEW_FILES = 3
 
@@ -271,7 +274,7 @@ def search_many(
     if len(few) <= LITERAL_WORDS:
         near = near_literals(_vocabulary(index), [row["token"] for row in few], fuzziness)
     else:
-        near = near_words(_vocabulary(index), tokens, fuzziness)
+        near = near_words(_vocabulary(index), tokens, fuzziness, index.saved_term_keys())
     merged = len(index.batches) == 1
     expansions = best_expansions(near, index.per_field("n"), merged, max_expansions)
     terms = boosts(asked.join(expansions, "token"), ("query_id",))
@@ -354,7 +357,7 @@ def query_terms(
     else:
         each = f"explode({strings(sorted(set(words)))})"
         tokens = spark.range(1).select(F.expr(each).alias("token"))
-        near = near_words(_vocabulary(index), tokens, fuzziness)
+        near = near_words(_vocabulary(index), tokens, fuzziness, index.saved_term_keys())
     merged = len(index.batches) == 1
     weighted = best_expansions(near, index.per_field("n"), merged, max_expansions)
     return _summed(with_hash(weighted).collect(), Counter(words))
@@ -479,7 +482,7 @@ def _hits(
     """Cut the result and fetch its documents, in order."""
     if not index.exists or count == 0:
         return _no_hits(index)
-    if count is not None:
+    if count is not None and count <= COLLECTED_HITS:
         best = top(found, order, offset, count).select(*PLACED, "score").collect()
         if not best:
             return _no_hits(index)
@@ -488,7 +491,7 @@ def _hits(
         hits = _at_places(index, best).join(cut, list(VERSION)).orderBy("_place")
     else:
         documents = index.document_versions().select("batch_id", *HIT_COLUMNS)
-        cut = found.select(*VERSION, "score")
+        cut = top(found, order, offset, count).select(*VERSION, "score")
         hits = documents.join(cut, list(VERSION)).orderBy(*order)
     return hits.select(
         *HIT_COLUMNS, "score", _marked(index, terms, max_highlights).alias("highlights")

@@ -22,6 +22,7 @@ from folioseek.operators.changes import (
     path_bucket,
     replaced_versions,
 )
+from folioseek.operators.matching import term_keys
 from folioseek.operators.postings import (
     FILE_COLUMNS,
     build_postings,
@@ -41,6 +42,7 @@ from folioseek.schema import (
     POSTINGS_SCHEMA,
     POSTING_FILES_SCHEMA,
     SUPERSEDED_SCHEMA,
+    TERM_KEYS_SCHEMA,
     TERM_STATS_SCHEMA,
     TEXT_FIELDS,
 )
@@ -91,12 +93,19 @@ class DocumentIndex:
         path: str,
         analyzer: str = "standard",
         term_buckets: int | None = None,
+        near_keys: bool = False,
     ) -> "DocumentIndex":
-        """Make the index if it is absent; otherwise leave it as it is."""
+        """Make the index if it is absent; otherwise leave it as it is.
+
+        `near_keys` saves the deletion keys of all terms with each batch, for
+        tables of many queries.
+        """
         check_analyzer(analyzer)
         index = cls(spark, path)
         if not index.exists:
-            index._commit(mode="create", analyzer=analyzer, term_buckets=term_buckets)
+            index._commit(
+                mode="create", analyzer=analyzer, term_buckets=term_buckets, near_keys=near_keys
+            )
             index = cls(spark, path)
         return index
 
@@ -236,6 +245,13 @@ class DocumentIndex:
             "field", "term", "df", F.char_length("term").alias("term_len"), "cf"
         )
 
+    def saved_term_keys(self) -> DataFrame | None:
+        """Deletion keys of all terms; None if the index does not save them."""
+        if not self._log or not self._log[0]["near_keys"]:
+            return None
+        parts = f"batch_id={_any_of(self.batches)}"
+        return self._read("term_keys", TERM_KEYS_SCHEMA, parts=parts).drop("batch_id")
+
     def field_totals(self) -> DataFrame:
         """Documents, tokens and mean length per field, from a row per field and batch."""
         parts = f"batch_id={_any_of(self.batches)}"
@@ -391,6 +407,15 @@ class DocumentIndex:
             "field",
             "term_len",
         )
+        if self._log[0]["near_keys"]:
+            known = saved("term_stats", TERM_STATS_SCHEMA).filter("df > 0")
+            save(
+                term_keys(known.select("term").distinct())
+                .hint("rebalance", "key_bucket")
+                .sortWithinPartitions("key_bucket", "key"),
+                "term_keys",
+                "key_bucket",
+            )
         save(field_counts(saved("term_stats", TERM_STATS_SCHEMA)).coalesce(1), "field_stats")
         self._commit(
             batch_id=batch_id,

@@ -118,6 +118,16 @@ PATHS_SCHEMA = T.StructType(
     ]
 )
 
+# Deletion keys of a batch's terms, if the index saves them.
+TERM_KEYS_SCHEMA = T.StructType(
+    [
+        T.StructField("term", T.StringType()),
+        T.StructField("key", T.StringType()),
+        T.StructField("key_bucket", T.IntegerType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
+
 # Document versions that a later batch replaced; `batch_id` is the replacing one.
 SUPERSEDED_SCHEMA = T.StructType(
     [
@@ -135,6 +145,7 @@ COMMIT_SCHEMA = T.StructType(
         T.StructField("analyzer", T.StringType()),
         T.StructField("term_buckets", T.IntegerType()),
         T.StructField("path_buckets", T.IntegerType()),
+        T.StructField("near_keys", T.BooleanType()),
         T.StructField("indexed", T.LongType()),
         T.StructField("quarantined", T.LongType()),
         T.StructField("superseded", T.LongType()),

@@ -4,13 +4,16 @@ import random
 
 import pytest
 
+from conftest import as_documents
+from folioseek import DocumentIndex, index_documents, search_many
 from folioseek.functions.edits import allowed_edits_of
 from folioseek.operators.matching import (
     best_expansions,
     near_literals,
     near_words,
+    term_keys,
 )
-
+from folioseek.plans import search
 
 NEAR = "field string, term string, token string, edits int, df long"
 
@@ -78,11 +81,59 @@ def test_both_ways_find_what_brute_force_finds(spark, terms, vocabulary, fuzzine
     assert found(near_words(vocabulary, tokens, fuzziness)) == expected
 
 
-def test_shuffled_join_finds_the_same(spark, vocabulary, monkeypatch):
-    tokens = spark.createDataFrame([("abc",), ("abcabc",)], "token string")
-    wanted = {tuple(row) for row in near_words(vocabulary, tokens).collect()}
-    monkeypatch.setattr("folioseek.operators.matching.BROADCAST_WORDS", 0)
-    assert {tuple(row) for row in near_words(vocabulary, tokens).collect()} == wanted
+@pytest.mark.parametrize("fuzziness", ["AUTO", 1, 2])
+def test_saved_keys_of_long_terms(spark, fuzziness):
+    """Words around the length from which terms are saved by both ends, two edits anywhere."""
+    chance = random.Random(3)
+    terms = {"".join(chance.choice("ab") for _ in range(n)) for n in range(15, 27) for _ in range(4)}
+
+    def changed(word):
+        at, kind = chance.randrange(len(word)), chance.randrange(4)
+        swapped = word[:at] + word[at + 1 : at + 2] + word[at] + word[at + 2 :]
+        return (word[:at] + "c" + word[at:], word[:at] + word[at + 1 :], word[:at] + "c" + word[at + 1 :], swapped)[kind]
+
+    near = {changed(changed(word)) for word in terms for _ in range(6)}
+    terms, words = sorted(terms | near), chance.sample(sorted(near), 60)
+    expected = {
+        (word, term, d)
+        for word in words
+        for term in terms
+        if abs(len(word) - len(term)) <= 2
+        and (d := edits(word, term)) <= (2 if fuzziness == "AUTO" else fuzziness)
+    }
+    vocabulary = spark.createDataFrame(
+        [("content", term, len(term), 1) for term in terms], "field string, term string, term_len int, df long"
+    )
+    tokens = spark.createDataFrame([(word,) for word in words], "token string")
+    keys = term_keys(vocabulary.select("term"))
+    assert keys.groupBy("term").count().agg({"count": "max"}).first()[0] <= 172
+    found = near_words(vocabulary, tokens, fuzziness, keys).collect()
+    assert {(r["token"], r["term"], r["edits"]) for r in found} == expected and len(found) == len(expected)
+    assert len(expected) > 60
+
+
+def test_saved_keys_spare_the_vocabulary(spark, tmp_path):
+    """Nothing is made from the vocabulary when words are sought, and hits are the same."""
+    rows = [(f"/k/{n}.csv", "csv", f"common word{n} abcdefghijklmnopqrst{n}") for n in range(60)]
+    hits = {}
+    queries = spark.createDataFrame(
+        [(n, f"wrod{n} abcdefghijklmnopqrts{n}") for n in range(40)], "query_id int, query_text string"
+    )
+    for saved in (False, True):
+        folder = str(tmp_path / str(saved))
+        DocumentIndex.create(spark, folder, near_keys=saved)
+        for part in (rows[:40], rows[40:]):
+            index_documents(DocumentIndex(spark, folder), as_documents(spark, part))
+        index = DocumentIndex(spark, folder)
+        keys = index.saved_term_keys()
+        assert (keys is not None) == saved
+        found = search_many(index, queries, 5).select("query_id", "place", "file_path", "score")
+        hits[saved] = sorted(map(tuple, found.collect()))
+    assert hits[True] == hits[False] and len(hits[True]) > 60
+    tokens = spark.createDataFrame([("wrod7",)], "token string")
+    near = near_words(search._vocabulary(index), tokens, "AUTO", keys)
+    text = near._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Generate explode") == 1 and "key_bucket" in text
 
 
 @pytest.mark.parametrize("word, most", [("ab", 0), ("abc", 1), ("abcde", 1), ("abcdef", 2)])

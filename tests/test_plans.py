@@ -99,6 +99,15 @@ def test_top_opens_no_file_that_cannot_hold_a_hit(clustered, text, size):
         assert 2 * len(files) < len(whole)
 
 
+@pytest.mark.parametrize("sort", [{}, {"sort_by": "file_size", "sort_order": "asc"}])
+def test_many_hits_are_joined_and_not_collected(clustered, monkeypatch, sort):
+    few = advanced_search(clustered, "the filler", fuzziness=0, size=30, **sort).select("file_path", "score").collect()
+    monkeypatch.setattr(search, "COLLECTED_HITS", 10)
+    many = advanced_search(clustered, "the filler", fuzziness=0, size=30, **sort)
+    assert many.select("file_path", "score").collect() == few and len(few) == 30
+    assert "LocalTableScan" not in plan(many).split("TakeOrderedAndProject")[0]
+
+
 def test_batches_with_other_numbers_of_buckets(spark, tmp_path, monkeypatch):
     folder = str(tmp_path)
     DocumentIndex.create(spark, folder)
