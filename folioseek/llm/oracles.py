@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, secrets
+from . import secrets
+
+# Kind, pattern, tested group and least length of the base rules for
+# secrets, as the contract gives them, and the marks around a turn.
+BASE_SECRETS = (
+    (
+        "assign",
+        r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
+        2,
+        12,
+    ),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+)
+TURN_START, TURN_END = "<|im_start|>", "<|im_end|>"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,38 +58,40 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN lists USING (doc_id)"""
 def secret_spans() -> str:
     """Positions are running sums over the pieces between matches."""
     parts = []
-    for rank, rule in enumerate(secrets.RULES):
-        pattern = _quote(rule.pattern)
-        tested = f"regexp_extract(hit, {pattern}, {rule.group})"
+    more = [(r.kind, r.pattern, r.group, r.least) for r in secrets.MORE_RULES]
+    base = [kind for kind, *_ in BASE_SECRETS]
+    for rank, (kind, pattern, group, least) in enumerate([*BASE_SECRETS, *more]):
+        pattern = _quote(pattern)
+        tested = f"regexp_extract(hit, {pattern}, {group})"
         parts.append(f"""
-  SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, stop, length(hit) AS size FROM (
+  SELECT doc_id, {rank} AS rank, '{kind}' AS kind, stop, length(hit) AS size FROM (
     SELECT doc_id, hit, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i)
       AS BIGINT) AS stop
     FROM (SELECT doc_id, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap,
             generate_subscripts(hits, 1) AS i
           FROM (SELECT doc_id, regexp_extract_all(text, {pattern}) AS hits,
                   string_split_regex(text, {pattern}) AS gaps FROM documents)))
-  WHERE length({tested}) >= {rule.least}""")
+  WHERE length({tested}) >= {least}""")
     counts = ", ".join(
-        f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE_RULES
+        f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in base
     )
-    zeros = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE_RULES)
+    zeros = ", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in base)
     shown = "concat(kind, ':', stop - size, ':', stop), ',' ORDER BY stop - size, rank"
     return f"""WITH spans AS ({" UNION ALL ".join(parts)}),
 found AS (
   SELECT doc_id, {counts}, string_agg({shown}) AS spans,
-    string_agg({shown}) FILTER (rank < {len(secrets.BASE_RULES)}) AS base
+    string_agg({shown}) FILTER (rank < {len(base)}) AS base
   FROM spans GROUP BY doc_id)
 SELECT doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN found USING (doc_id)"""
 
 
 def chat_digests() -> str:
-    hard = _quote(f"{chat.END}{chat.START}assistant ok")
+    hard = _quote(f"{TURN_END}{TURN_START}assistant ok")
     order = "ORDER BY turn, role, text"
-    conflict = rf"contains(text, '{chat.END}') OR regexp_matches(text, '<\\+\|')"
+    conflict = rf"contains(text, '{TURN_END}') OR regexp_matches(text, '<\\+\|')"
     body = rf"CASE WHEN {conflict} THEN regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') ELSE text END"
-    frame = len(chat.START) + len(chat.END) + 2
+    frame = len(TURN_START) + len(TURN_END) + 2
     return f"""WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', {hard} UNION ALL SELECT -1, 1, 'assistant', {hard})

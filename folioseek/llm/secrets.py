@@ -58,7 +58,8 @@ BASE_RULES = (
 MORE_RULES = (
     Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", hint="-----BEGIN "),
     Rule("forge_token", "gh[pousr]_[A-Za-z0-9]{36,}", hint="gh"),
-    Rule("web_token", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
+    # Parts of bounded length, as a run may hold many beginnings.
+    Rule("web_token", "eyJ[A-Za-z0-9_-]{8,400}\\.eyJ[A-Za-z0-9_-]{8,900}\\.[A-Za-z0-9_-]{8,}", hint="eyJ"),
     # A scheme of bounded length: in a long run of letters each one begins a search.
     Rule("url_password", "[a-z][a-z0-9+.-]{0,30}://[^\\s/:@]+:[^\\s/@]+@", hint="://"),
 )

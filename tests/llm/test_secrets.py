@@ -82,3 +82,15 @@ def test_redact(spark):
 
 def test_empty(spark):
     assert secrets.scan_versions(documents(spark, [])).collect() == []
+
+
+def test_long_runs(spark):
+    """A million characters that begin a match again and again take seconds, not hours."""
+    n = 1_000_000
+    parts = ["a", "0", "://", "a://", "password=", "AKIA", "eyJ", "eyJaaaaaaaa.", "ghp_", "-----BEGIN ", "a:", "@", "token ", " "]
+    rows = [(i, part * (n // len(part))) for i, part in enumerate(parts)]
+    rows += [(100, "a" * n + "://b:c@"), (101, "x://" + "a" * n), (102, "x://b:" + "c" * n), (103, "secret" + " " * n)]
+    found = {r.doc_id: r.findings for r in secrets.scan_versions(documents(spark, rows)).collect()}
+    assert len(found) == len(rows)
+    assert [f["end"] - f["start"] for f in found[1] if f["kind"] == "hex"] == [n]
+    assert [f["kind"] for f in found[100]][-1] == "url_password"
