@@ -7,13 +7,20 @@ for those rows only that still need them.
 from __future__ import annotations
 
 import json
+import time
 from collections import deque
 from collections.abc import Iterable, Iterator
+from datetime import datetime, timedelta, timezone
 from fnmatch import fnmatchcase
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceStreamReader,
+    InputPartition,
+)
 
 from folioseek.sources.folders import (
     ArrowFolder,
@@ -27,6 +34,8 @@ from folioseek.sources.folders import (
 # Folders that the driver finds, at least, before tasks walk what is below them.
 FOLDERS = 1000
 
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
 # `stored_at` is where tasks can read the file; null if none can.
 SCHEMA = "path string, modificationTime timestamp, length bigint, stored_at string"
 CONTENTS = f"{SCHEMA}, content binary"
@@ -80,10 +89,52 @@ class OmittedFiles(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> OmittedReader:
+    def _asked(self) -> tuple[ArrowFolder, tuple[str, ...]]:
         settings = {k: v for k, v in self.options.items() if k.startswith("fs.")}
-        folder = ArrowFolder(self.options["path"], settings)
-        return OmittedReader(folder, tuple(json.loads(self.options["types"])))
+        return ArrowFolder(self.options["path"], settings), tuple(json.loads(self.options["types"]))
+
+    def reader(self, schema) -> OmittedReader:
+        return OmittedReader(*self._asked())
+
+    def streamReader(self, schema) -> OmittedArrivals:
+        return OmittedArrivals(*self._asked())
+
+
+def _dealt_out(lister: ArrowFolder) -> list[list[tuple[str, bool, bool]]]:
+    """Lists of (folder, hidden, whether its own folders are walked too), one for each task."""
+    seen, waiting = [], deque([(lister.address, False)])
+    while waiting and len(waiting) < FOLDERS:
+        folder, hidden = waiting.popleft()
+        seen.append((folder, hidden, False))
+        waiting.extend(_below(lister.listed(folder), hidden))
+    found = seen + [(folder, hidden, True) for folder, hidden in waiting]
+    step = len(found) // FOLDERS + 1
+    return [found[a : a + step] for a in range(0, len(found), step)]
+
+
+class OmittedArrivals(DataSourceStreamReader):
+    """Omitted files by the time they were modified, in microseconds; that time is the offset.
+
+    A batch holds the files after its start up to its end, however often it is run.
+    """
+
+    def __init__(self, folder: ArrowFolder, types: tuple[str, ...]):
+        self.folder, self.types = folder, types
+
+    def initialOffset(self) -> dict:
+        return {"until": -1}
+
+    def latestOffset(self) -> dict:
+        return {"until": time.time_ns() // 1000}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [InputPartition((start["until"], end["until"], part)) for part in _dealt_out(self.folder)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        start, end, folders = partition.value
+        for x in walked(self.folder, folders, self.types):
+            if start < (x.modified - EPOCH) // timedelta(microseconds=1) <= end:
+                yield x.path, x.modified, x.length, x.path
 
 
 class OmittedReader(DataSourceReader):
@@ -91,15 +142,7 @@ class OmittedReader(DataSourceReader):
         self.folder, self.types = folder, types
 
     def partitions(self) -> list[InputPartition]:
-        """Lists of (folder, hidden, whether its own folders are walked too)."""
-        seen, waiting = [], deque([(self.folder.address, False)])
-        while waiting and len(waiting) < FOLDERS:
-            folder, hidden = waiting.popleft()
-            seen.append((folder, hidden, False))
-            waiting.extend(_below(self.folder.listed(folder), hidden))
-        found = seen + [(folder, hidden, True) for folder, hidden in waiting]
-        step = len(found) // FOLDERS + 1
-        return [InputPartition(found[a : a + step]) for a in range(0, len(found), step)]
+        return [InputPartition(part) for part in _dealt_out(self.folder)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for x in walked(self.folder, partition.value, self.types):
@@ -127,6 +170,16 @@ def omitted_files(spark: SparkSession, address: str, types: tuple[str, ...] = ()
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def omitted_arrivals(spark: SparkSession, address: str, types: tuple[str, ...]) -> DataFrame | None:
+    """Omitted files as a stream; None for storage that only Hadoop knows."""
+    known = arrow_folder(spark, address)
+    if known is None:
+        return None
+    spark.dataSource.register(OmittedFiles)
+    reader = spark.readStream.format("omitted_files").option("types", json.dumps(types))
+    return reader.options(**known.settings).load(address)
+
+
 def with_contents(files: DataFrame) -> DataFrame:
     """Omitted files with their contents, null for one that cannot be read; dealt out evenly."""
     spark = files.sparkSession

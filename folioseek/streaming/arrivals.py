@@ -3,7 +3,7 @@
 import os
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from folioseek.functions.decoders import Decoder
@@ -11,6 +11,8 @@ from folioseek.plans.store import DocumentIndex
 from folioseek.schema import FILE_TYPES
 from folioseek.sources.extraction import extract_documents
 from folioseek.sources.files import BINARY_SCHEMA, any_case_glob
+from folioseek.sources.folders import qualified
+from folioseek.sources.omitted import omitted_arrivals
 
 
 def index_arrivals(
@@ -25,7 +27,9 @@ def index_arrivals(
 
     Each micro-batch is committed under its stream name and number, so a batch
     that is replayed after a failure is indexed once. The file source remembers
-    paths: changed files need `index_new_files`.
+    paths: changed files need `index_new_files`. Hidden and empty files, which that
+    source passes over, arrive by their time of modification; one that is moved in
+    with an older time is found by `index_new_files`.
     """
     reader = (
         index.spark.readStream.format("binaryFile")
@@ -40,9 +44,17 @@ def index_arrivals(
         documents = extract_documents(files, decoders)
         index.append(documents, token=f"{name}:{epoch}", unique_paths=True)
 
+    plain = reader.load(os.fspath(folder))
+    arrivals = plain.select(
+        "*", F.lit(None).cast("string").alias("stored_at"), F.lit(False).alias("omitted")
+    )
+    omitted = omitted_arrivals(index.spark, qualified(index.spark, os.fspath(folder)), FILE_TYPES)
+    if omitted is not None:
+        arrivals = arrivals.unionByName(
+            omitted.select("*", F.lit(None).cast("binary").alias("content"), F.lit(True).alias("omitted"))
+        )
     return (
-        reader.load(os.fspath(folder))
-        .writeStream.foreachBatch(write)
+        arrivals.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .queryName(name)

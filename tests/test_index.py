@@ -225,6 +225,34 @@ def test_arrivals_are_indexed_once(spark, tmp_path, inbox):
     assert opened(spark, path).batches == after.batches
 
 
+def test_hidden_arrivals_are_indexed_once(spark, tmp_path):
+    """Hidden files arrive by their time, and a replayed batch holds the same ones."""
+    inbox, path, checkpoint = tmp_path / "in", str(tmp_path / "index"), tmp_path / "checkpoint"
+    (inbox / "_old").mkdir(parents=True)
+    (inbox / "_x.csv").write_text("word\nxxx\n")
+    (inbox / "_old/y.csv").write_text("word\nyyy\n")
+    (inbox / "plain.csv").write_text("word\nzzz\n")
+    (inbox / "empty.csv").write_text("")
+    index = DocumentIndex.create(spark, path)
+
+    def run():
+        index_arrivals(index, str(inbox), str(checkpoint)).awaitTermination()
+        return opened(spark, path)
+
+    first = run()
+    assert first.count_documents() == 3 and first.quarantine().count() == 1
+    assert run().batches == first.batches
+    (inbox / "_late.csv").write_text("word\nlate\n")
+    after = run()
+    assert after.count_documents() == 4 and len(after.batches) == 2
+    last = max(int(p.name) for p in (checkpoint / "commits").iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        os.rename(checkpoint / "commits" / name, tmp_path / f"kept-{name}")
+    assert run().batches == after.batches
+    names = {r.file_name for r in opened(spark, path).documents().collect()}
+    assert names == {"_x.csv", "y.csv", "plain.csv", "_late.csv"}
+
+
 def test_failed_files_settle(spark, tmp_path):
     """A second run over an unchanged folder writes no batch, broken files or not."""
     inbox = tmp_path / "inbox"
