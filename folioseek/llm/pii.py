@@ -581,6 +581,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", texts: int = 1500, per_text: in
     # One task trains on what is bounded by texts and per_text; the weights are some thousand numbers.
     found = sample.mapInArrow(_examples(per_text), "text string, spans array<array<bigint>>").coalesce(1)
     rows = found.mapInArrow(_train(windows), "name string, rows int, numbers array<float>").collect()
+    if not rows:
+        return train(*training_set([], windows))
     return Model({r.name: np.array(r.numbers, np.float32).reshape(r.rows, -1).squeeze() for r in rows})
 
 

@@ -138,4 +138,6 @@ def test_query(spark, tmp_path):
         found.append(str((r.doc_id, [r.n_email, r.n_ip, r.n_card, r.n_phone], r.base_sha256, own)))
     assert sorted(found) == sorted(wanted)
     empty = documents(spark, [])
-    assert pii.find_spans(empty, pii.Model({})).collect() == []
+    assert pii.find_spans(empty, pii.fit(empty, windows=128)).collect() == []
+    nothing = documents(spark, [(1, None), (1, "")])
+    assert [r.spans for r in pii.find_spans(nothing, pii.fit(nothing, windows=128)).collect()] == [[], []]
