@@ -60,6 +60,9 @@ BUCKET_PATHS = 1_000_000
 # Text per postings file.
 POSTINGS_BYTES = 64 * 1024 * 1024
 
+# Rows about postings files that an open index remembers.
+PLACES_KEPT = 10_000
+
 # Batches with less text than this per task slot are spread over all slots.
 SMALL_TASK_BYTES = 32 * 1024 * 1024
 
@@ -80,6 +83,7 @@ class DocumentIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = str(path).rstrip("/")
+        self._places: dict[tuple[int, int], list[Row]] = {}
         # One small row per batch; `compact` keeps the live ones few.
         self._log = sorted(
             self._read("commits", COMMIT_SCHEMA, "json").collect(),
@@ -119,7 +123,7 @@ class DocumentIndex:
     def analyzer(self) -> str:
         return self._log[0]["analyzer"] if self._log else "standard"
 
-    @property
+    @cached_property
     def buckets_of(self) -> dict[int, int]:
         """Term buckets of each live batch: as asked for, else by its own text."""
         return {row["batch_id"]: row["term_buckets"] for row in self._live}
@@ -206,19 +210,40 @@ class DocumentIndex:
     def posting_places(self, hashes: Mapping[str, int]) -> list[Row]:
         """Files and fields that may hold one of these terms, given with their hashes.
 
-        One row for each, of the terms' buckets only; the driver holds what it opens.
+        One row for each, of the terms' buckets only. The driver holds what a search
+        opens; what it asked for last is remembered, up to PLACES_KEPT rows.
         """
-        batches_of: dict[int, list[int]] = {}
-        for batch, buckets in self.buckets_of.items():
-            batches_of.setdefault(buckets, []).append(batch)
+        counts = set(self.buckets_of.values())
+        wanted = {(count, number % count) for count in counts for number in hashes.values()}
+        missing = wanted - set(self._places)
+        found = {key: self._places.pop(key) for key in wanted - missing}
+        found.update(self._places_in(missing))
+        self._places.update(found)
+        kept = sum(map(len, self._places.values()))
+        while kept > PLACES_KEPT and len(self._places) > len(wanted):
+            kept -= len(self._places.pop(next(iter(self._places))))
+        terms = sorted(hashes)
+        return [
+            row
+            for rows in found.values()
+            for row in rows
+            if _any_between(terms, row["first_term"], row["last_term"])
+        ]
+
+    def _places_in(self, wanted: set[tuple[int, int]]) -> dict[tuple[int, int], list[Row]]:
+        """Rows of `posting_files` for (number of buckets, bucket)."""
+        if not wanted:
+            return {}
         near = F.lit(False)
-        for buckets, batches in batches_of.items():
-            wanted = sorted({number % buckets for number in hashes.values()})
-            near |= F.col("batch_id").isin(batches) & F.col("term_bucket").isin(wanted)
+        for count in {count for count, _ in wanted}:
+            batches = [batch for batch, own in self.buckets_of.items() if own == count]
+            buckets = sorted(bucket for own, bucket in wanted if own == count)
+            near |= F.col("batch_id").isin(batches) & F.col("term_bucket").isin(buckets)
         parts = f"batch_id={_any_of(self.batches)}"
-        rows = self._read("posting_files", POSTING_FILES_SCHEMA, parts=parts).filter(near).collect()
-        terms = sorted(hashes)
-        return [row for row in rows if _any_between(terms, row["first_term"], row["last_term"])]
+        found = {key: [] for key in wanted}
+        for row in self._read("posting_files", POSTING_FILES_SCHEMA, parts=parts).filter(near).collect():
+            found[self.buckets_of[row["batch_id"]], row["term_bucket"]].append(row)
+        return found
 
     def postings(self) -> DataFrame:
         return without_superseded(self.posting_versions(), self.superseded())
