@@ -160,6 +160,8 @@ def with_hash(terms: DataFrame) -> DataFrame:
 
 def with_buckets(terms: DataFrame, counts: set[int]) -> DataFrame:
     """A row for each number of buckets that batches have, with the term's bucket."""
+    if len(counts) == 1:
+        return terms.withColumn("term_bucket", term_bucket(F.col("term"), min(counts)))
     each = F.explode(F.array(*[F.lit(count) for count in sorted(counts)]))
     rows = terms.withColumn("buckets", each)
     return rows.withColumn("term_bucket", term_bucket(F.col("term"), F.col("buckets")))

@@ -279,11 +279,15 @@ def search_many(
     expansions = best_expansions(near, index.per_field("n"), merged, max_expansions)
     terms = boosts(asked.join(expansions, "token"), ("query_id",))
     buckets_of = index.buckets_of or {0: 1}
-    # Batches differ in their number of buckets; a term is sought in its bucket of each.
-    pairs = F.create_map(*[F.lit(x) for pair in buckets_of.items() for x in pair])
-    postings = index.posting_versions().withColumn("buckets", pairs[F.col("batch_id")])
-    sought = with_buckets(terms, set(buckets_of.values()))
-    matched = postings.join(sought, ["buckets", "term_bucket", "field", "term"])
+    counts = set(buckets_of.values())
+    sought, postings = with_buckets(terms, counts), index.posting_versions()
+    keys = ["term_bucket", "field", "term"]
+    if len(counts) > 1:
+        # Batches differ in their number of buckets; a term is sought in its bucket of each.
+        pairs = F.create_map(*[F.lit(x) for pair in buckets_of.items() for x in pair])
+        postings = postings.withColumn("buckets", pairs[F.col("batch_id")])
+        keys.append("buckets")
+    matched = postings.join(sought, keys)
     scored = score_documents(matched, index.per_field("avgdl"), ("query_id",))
     scored = without_superseded(scored, index.superseded())
     order = ordering("score", "desc")
