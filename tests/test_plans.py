@@ -1,14 +1,16 @@
 """What the physical plans must look like to hold at scale."""
 
+import re
+
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from conftest import as_documents
 from folioseek import DocumentIndex, advanced_search, index_documents, search_documents, search_many
 from folioseek.operators.changes import latest_versions, one_per_path
 from folioseek.operators.filters import Filters, after_hit, ordering, top
 from folioseek.operators.matching import near_literals
-from folioseek.operators.postings import build_postings
+from folioseek.operators.postings import build_postings, clustered as cluster_postings, range_borders
 from folioseek.operators.ranks import with_places
 from folioseek.plans import search, store
 from folioseek.sources.files import file_records, scan_folder
@@ -227,3 +229,45 @@ def test_places_without_one_task_for_a_query(spark, tmp_path):
         wanted[q, path] = sum(q == other for other, _ in wanted) + 1
     assert {(r.query_id, r.file_path): r.place for r in placed.collect()} == wanted
     assert "rangepartitioning(query_id" in saves[0] and "Window" not in saves[0]
+
+
+def test_ranges_are_found_without_cutting_all_texts_twice(spark):
+    """Postings come out in ranges of bucket, term and weight, with no range sampled by Spark."""
+    rows = as_documents(spark, [(f"/r/{n}.csv", "csv", f"the the rare{n} " + "x " * (n % 7)) for n in range(90)])
+    built = build_postings(rows, keep=("file_path",))
+    borders = range_borders(built, 4, 9, 1.0)
+    dealt = cluster_postings(built, 4, borders)
+    assert "rangepartitioning" not in plan(dealt).lower()
+    parts = dealt.withColumn("part", F.spark_partition_id()).collect()
+    assert sorted(r["term"] for r in parts) == sorted(r["term"] for r in built.collect())
+    spans = {}
+    for row in parts:
+        spans.setdefault(row["part"], []).append((row["term_bucket"], row["term"].encode()))
+    assert len(spans) == 9 and max(map(len, spans.values())) <= 3 * len(parts) / 9
+    ends = [(min(keys), max(keys)) for _, keys in sorted(spans.items())]
+    assert all(left[1] <= right[0] for left, right in zip(ends, ends[1:]))
+
+
+def test_highlights_look_terms_up_by_hash(index):
+    """Not word by word along the list of all near terms."""
+    terms = [Row(field="content", term=f"t{n}", boost=1.0) for n in range(50)]
+    documents = index.documents().select(search._marked(index, terms, 5).alias("marked"))
+    assert "INSET" in plan(documents) and "array_contains" not in plan(documents)
+
+
+def test_a_few_queries_leave_the_postings_where_they_are(spark, index, monkeypatch):
+    """Terms near a few words are sent to the postings, whatever Catalyst makes of their size."""
+    queries = spark.createDataFrame([(1, "common"), (2, "word7")], "query_id int, query_text string")
+    with_limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = plan(search_many(index, queries, 5))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_limit)
+    assert "BroadcastHashJoin" in found
+
+
+def test_counts_by_period_and_term_are_dealt_out_by_term_once(index):
+    dealt = plan(search.term_changes_over_time(index))
+    assert "Union" not in dealt
+    assert not re.search(r"hashpartitioning\(turn#\d+L?, term#\d+", dealt)
