@@ -281,6 +281,9 @@ def search_many(
     buckets_of = index.buckets_of or {0: 1}
     counts = set(buckets_of.values())
     sought, postings = with_buckets(terms, counts), index.posting_versions()
+    if len(few) <= LITERAL_WORDS:
+        # The terms near a few words are few as well: postings stay where they are.
+        sought = F.broadcast(sought)
     keys = ["term_bucket", "field", "term"]
     if len(counts) > 1:
         # Batches differ in their number of buckets; a term is sought in its bucket of each.
