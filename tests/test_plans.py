@@ -10,7 +10,7 @@ from folioseek import DocumentIndex, advanced_search, index_documents, search_do
 from folioseek.operators.changes import latest_versions, one_per_path
 from folioseek.operators.filters import Filters, after_hit, ordering, top
 from folioseek.operators.matching import near_literals
-from folioseek.operators.postings import build_postings, clustered as cluster_postings, range_borders
+from folioseek.operators.postings import build_postings, clustered as cluster_postings, describe_files, range_borders
 from folioseek.operators.ranks import with_places
 from folioseek.plans import search, store
 from folioseek.sources.files import file_records, scan_folder
@@ -271,3 +271,12 @@ def test_counts_by_period_and_term_are_dealt_out_by_term_once(index):
     dealt = plan(search.term_changes_over_time(index))
     assert "Union" not in dealt
     assert not re.search(r"hashpartitioning\(turn#\d+L?, term#\d+", dealt)
+
+
+def test_files_are_described_without_sorting_their_postings(clustered):
+    described = plan(describe_files(clustered.posting_versions()))
+    assert re.search(r"\) HashAggregate", described)
+    rows = describe_files(clustered.posting_versions()).collect()
+    saved = [row for found in clustered._places_in({(4, n) for n in range(4)}).values() for row in found]
+    key = lambda r: (r["file"], r["field"], r["first_term"], r["last_term"], r["rows"], r["most_tf"], r["least_ratio"])
+    assert sorted(map(key, rows)) == sorted(map(key, saved))
