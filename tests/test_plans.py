@@ -7,6 +7,7 @@ from pyspark.sql import Row, functions as F
 
 from conftest import as_documents
 from folioseek import DocumentIndex, advanced_search, index_documents, search_documents, search_many
+from folioseek.operators import postings
 from folioseek.operators.changes import latest_versions, one_per_path
 from folioseek.operators.filters import Filters, after_hit, ordering, top
 from folioseek.operators.matching import near_literals
@@ -248,6 +249,39 @@ def test_ranges_are_found_without_cutting_all_texts_twice(spark):
     assert all(left[1] <= right[0] for left, right in zip(ends, ends[1:]))
 
 
+@pytest.mark.parametrize("buckets, files", [(1, 1), (1, 7), (4, 9), (64, 5)])
+def test_ranges_are_the_borders_not_above_a_posting(spark, buckets, files):
+    texts = [(f"/p{n}.csv", "csv", "the the filler " + f"word{n % 7} " * (n % 5)) for n in range(80)]
+    built = build_postings(as_documents(spark, texts), keep=("file_path",))
+    borders = range_borders(built, buckets, files, 1.0)
+    rows = postings._in_range(postings._in_order(built, buckets), buckets, borders).collect()
+    keys = [postings._as_bytes(tuple(row[name] for name in postings._RANGE_KEYS)) for row in rows]
+    expected = [sum(postings._as_bytes(border) <= key for border in borders) for key in keys]
+    assert [row["_range"] for row in rows] == expected
+    assert len(set(expected)) == files
+
+
+def test_steps_to_a_range_grow_with_the_borders_of_a_bucket(spark):
+    """Ten borders in each bucket take as many comparisons, however many buckets there are."""
+    steps = []
+    built = build_postings(as_documents(spark, [("/a.csv", "csv", "the filler")]), keep=("file_path",))
+    for buckets in (1, 16):
+        borders = [(b, f"w{n}", "content", 0, 0) for b in range(buckets) for n in range(10)]
+        rows = postings._in_range(postings._in_order(built, buckets), buckets, borders)
+        steps.append(rows._jdf.queryExecution().optimizedPlan().toString().count("Project ["))
+    assert steps[0] == steps[1] > 0
+
+
+def test_shuffled_postings_hold_what_cannot_be_computed(spark):
+    built = build_postings(as_documents(spark, [("/a.csv", "csv", "the filler")]), keep=("file_path",))
+    dealt = cluster_postings(built, 4, range_borders(built, 4, 2, 1.0))
+    assert dealt.columns == [*built.columns, "term_bucket"]
+    sent = re.search(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", plan(dealt)).group(1)
+    assert {name.split("#")[0].strip() for name in sent.split(",")} == {
+        "field", "term", "dl", "positions", "is_lead", "file_path", "_range"
+    }
+
+
 def test_highlights_look_terms_up_by_hash(index):
     """Not word by word along the list of all near terms."""
     terms = [Row(field="content", term=f"t{n}", boost=1.0) for n in range(50)]
